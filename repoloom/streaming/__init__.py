@@ -1,0 +1,6 @@
+"""No streaming operators: the data model has no event time, window or state.
+
+The row-wise expressions of `repoloom.functions`, `operators.classify` and
+`plans.functions` use neither shuffles nor driver state and therefore run
+unchanged on a streaming DataFrame of files.
+"""

@@ -12,7 +12,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoloom.functions.rowscan import let
+from repoloom.functions.rowscan import fenced, let
 from repoloom.operators import signatures as sig
 from repoloom.operators.blocks import block_end
 from repoloom.operators.trivia import leading_start
@@ -52,17 +52,6 @@ def _empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def fenced(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns through a generator that yields one row.
-
-    The optimizer copies the definition of a projected column into every filter on
-    it, which for these stages repeats the whole scan; it does not look through a
-    generator.
-    """
-    added = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
-    return df.select(*[c for c in df.columns if c not in columns], added)
-
-
 # The stage expressions below name fixed columns and depend on nothing else, so each
 # is built once per process.
 

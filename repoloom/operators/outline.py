@@ -190,10 +190,10 @@ def outline(units: DataFrame) -> DataFrame:
 
 def code_segments(units: DataFrame) -> DataFrame:
     """One row per segment of files with `spans` and `text`, blank pieces dropped."""
-    df = with_segments(with_outline(units)).select("repo", "branch", "path", "text", F.posexplode("segments").alias("seg", "s"))
-    piece = F.when(F.col("s.kind") != "heading", F.expr("substring(text, s.start + 1, s.end - s.start)"))
+    df = with_segments(with_outline(units)).select("repo", "branch", "path", "text", F.posexplode("segments").alias("seg", "segment"))
+    piece = F.when(F.col("segment.kind") != "heading", F.expr("substring(text, segment.start + 1, segment.end - segment.start)"))
     return (
-        df.select("repo", "branch", "path", "seg", "s.*", piece.alias("code"))
+        df.select("repo", "branch", "path", "seg", "segment.*", piece.alias("code"))
         .filter((F.col("kind") == "heading") | ~is_blank(F.col("code")))
     )
 

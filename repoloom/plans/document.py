@@ -14,7 +14,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoloom.functions.charset import charset_unsupported, decode_text
+from repoloom.functions import lookups as lk
+from repoloom.functions.charset import charset_unsupported, decode_text, looks_binary
 from repoloom.functions.paths import asset_link, asset_path, branch_url, export_sort_key, file_name, normalize_path
 from repoloom.functions.rowscan import fenced, int_div
 from repoloom.functions.text import is_blank, md_anchor, md_code_block, md_escape, package_name
@@ -222,9 +223,6 @@ def merge_corpus(
 
 def _with_inventory_filter(files: DataFrame) -> DataFrame:
     """Files that the default selection takes, found row by row without a join."""
-    from repoloom.functions import lookups as lk
-    from repoloom.functions.charset import looks_binary
-
     size = F.length("content")
     df = with_classes(files.filter(~is_blank(F.col("path"))))
     selectable = F.when(F.col("is_unknown"), ~looks_binary(F.col("content"))).otherwise(F.col("by_name_selectable"))

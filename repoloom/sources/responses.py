@@ -31,7 +31,7 @@ def _listed(df: DataFrame, keys: list[str], entries: Column, error: Column) -> D
 
 
 def _pos() -> Column:
-    return (F.col("page").cast("bigint") * PAGE_STEP + F.col("nth")).alias("pos")
+    return (F.col("page").cast("bigint") * PAGE_STEP + F.coalesce("nth", F.lit(0))).alias("pos")
 
 
 def _any_case(entry: str, name: str) -> Column:

@@ -30,3 +30,51 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small source files in seven dialects, one per row of `part`."""
     table(spark, sf_dir, "part")
     return spark.sql(CODE_FILES)
+
+
+REPO_FILES = r"""
+SELECT doc_id, source AS repo, 'main' AS branch, doc_id AS pos, text AS content,
+ CASE x % 20 WHEN 0 THEN 'README.md' ELSE concat(lang, '/d', cast(x % 3 AS varchar(20)), '/', CASE x % 20
+  WHEN 1 THEN 'Dockerfile' WHEN 2 THEN '.env.production'
+  WHEN 3 THEN concat('a', cast(doc_id AS varchar(20)), '.py') WHEN 4 THEN concat('A', cast(doc_id AS varchar(20)), '.TS')
+  WHEN 5 THEN concat('img', cast(doc_id AS varchar(20)), '.svg') WHEN 6 THEN concat('img', cast(doc_id AS varchar(20)), '.PNG')
+  WHEN 7 THEN concat('doc', cast(doc_id AS varchar(20)), '.pdf') WHEN 8 THEN concat('lib', cast(doc_id AS varchar(20)), '.dll')
+  WHEN 9 THEN '.env.zip' WHEN 10 THEN concat('data', cast(doc_id AS varchar(20)), '.foo')
+  WHEN 11 THEN concat('noext', cast(doc_id AS varchar(20))) WHEN 12 THEN '.gitignore' WHEN 13 THEN 'CMakeLists.txt'
+  WHEN 14 THEN concat('x', cast(doc_id AS varchar(20)), '.cs') WHEN 15 THEN concat('y', cast(doc_id AS varchar(20)), '.tar.gz')
+  WHEN 16 THEN concat('z', cast(doc_id AS varchar(20)), '.') WHEN 17 THEN concat('w', cast(doc_id AS varchar(20)), '.vue')
+  WHEN 18 THEN concat('page', cast(doc_id AS varchar(20)), '.html')
+  ELSE concat('back', chr(92), 'slash', cast(doc_id AS varchar(20)), '.md') END) END AS path
+FROM (SELECT doc_id, source, lang, text, cast(floor(doc_id / 20) AS bigint) AS x FROM documents) s
+"""
+
+# Host and path of each page address.
+URL_TREE = r"""
+SELECT page_id AS pos, 'main' AS branch, CASE WHEN page_id % 10 = 9 THEN 'commit' ELSE 'blob' END AS type,
+ regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[/?#].*$', '') AS repo,
+ regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*$', '') AS path
+FROM pages
+"""
+
+# Bytes (hex) with 0, 30 or 31 of the first 100 replaced by byte 1, or one by byte 0.
+SNIFF_BYTES = r"""
+SELECT doc_id, left(CASE doc_id % 4 WHEN 0 THEN hx WHEN 1 THEN concat(repeat('01', 30), substring(hx, 61))
+ WHEN 2 THEN concat(repeat('01', 31), substring(hx, 63)) ELSE concat('00', substring(hx, 3)) END, 200) AS hx
+FROM (SELECT doc_id, hex(encode(text{charset})) AS hx FROM documents) s
+"""
+
+
+def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with names of every class, one per document."""
+    table(spark, sf_dir, "documents")
+    return spark.sql(REPO_FILES)
+
+
+def url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "pages")
+    return spark.sql(URL_TREE)
+
+
+def sniff_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "documents")
+    return spark.sql(SNIFF_BYTES.format(charset=", 'UTF-8'"))

@@ -30,7 +30,7 @@ def select_files(inv: DataFrame, selection: DataFrame | None = None) -> DataFram
             F.array_join(F.slice(parts, F.lit(1), n), "/").alias("offer"), (n == F.size(parts)).alias("is_self")
         ),
     )
-    keys = ["repo", "branch", "path"]
+    keys = [c for c in ("repo", "branch", "pos", "path") if c in inv.columns]
     offered = (
         inv.filter("selectable")
         .select(*keys, "large", F.inline(offers))

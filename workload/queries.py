@@ -148,7 +148,7 @@ def src_tree_nested_json(spark, sf):
 
 def content_bodies(spark, sf):
     docs = views.table(spark, sf, "documents")
-    packed = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "(.{60})", r"$1\\n")
+    packed = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\r?\n", r"\\n")
     body = (
         F.when(F.col("doc_id") % 6 == 4, F.lit('{"type":"dir","content":""}'))
         .when(F.col("doc_id") % 6 == 5, F.lit('{"type":"FILE","size":3}'))

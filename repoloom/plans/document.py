@@ -208,7 +208,10 @@ def merge_corpus(
         chosen = files.join(picked, KEYS, "left_semi")
     units = file_units(chosen, strict)
     sections = rendered(units)
-    headers = doc_headers(chosen.select("repo", "branch").distinct(), projects, stamp, style)
+    # Documents are wanted for what was selected from, or else for every listed branch;
+    # either is known without reading content.
+    wanted = tree_items if selection is None else selection
+    headers = doc_headers(wanted.select("repo", "branch").distinct(), projects, stamp, style)
     listing = tree_listing(tree_items, projects)
     return {
         "inventory": inv,

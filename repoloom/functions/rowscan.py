@@ -12,9 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 512
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once and use it several times in `body`."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -24,7 +21,7 @@ def int_div(value: Column, by: int) -> Column:
     return F.call_function("div", value, F.lit(by)).cast("int")
 
 
-def chunks(items: Column, size: int = CHUNK) -> Column:
+def chunks(items: Column, size: int) -> Column:
     last = int_div(F.greatest(F.size(items) - 1, F.lit(0)), size)
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * size + 1, F.lit(size)))
 
@@ -34,45 +31,48 @@ def scan(
     state: dict[str, Column],
     emits: str,
     step: Callable[[Column, Column], Column],
-    chunked: bool = False,
+    chunk: int | None = 64,
 ) -> Column:
     """Run `step` over `items` and return everything it emitted, in order.
 
     `step(state, item)` returns a struct with the fields of `state` plus `out`, the
-    array of values emitted for this item. With `chunked`, emissions are gathered
-    per chunk, so that appending stays cheap for arrays of millions of items; then
-    `items` should be a plain column, because it is read once per chunk.
+    array of values emitted for this item. Spark copies the accumulator at every step,
+    so emissions are gathered per chunk and only then added to the result; without
+    `chunk` (for scans that emit little) there is one level. Keep strings out of state
+    and emissions where numbers do.
     """
     nothing = F.array().cast(f"array<{emits}>")
     names = list(state)
 
+    def start(values: dict[str, Column]) -> Column:
+        return F.struct(*[v.alias(n) for n, v in values.items()], nothing.alias("out"))
+
+    def joined(acc: Column, new: Column) -> Column:
+        out = F.when(F.size(new["out"]) > 0, F.concat(acc["out"], new["out"])).otherwise(acc["out"])
+        return F.struct(*[new[n].alias(n) for n in names], out.alias("out"))
+
     def advance(acc: Column, item: Column) -> Column:
-        return let(
-            step(acc, item),
-            lambda new: F.struct(
-                *[new[n].alias(n) for n in names],
-                F.when(F.size(new["out"]) > 0, F.concat(acc["out"], new["out"])).otherwise(acc["out"]).alias("out"),
-                acc["done"].alias("done"),
-            ),
-        )
-
-    def start(out: Column, done: Column, values: dict[str, Column]) -> Column:
-        return F.struct(*[v.alias(n) for n, v in values.items()], out.alias("out"), done.alias("done"))
-
-    no_chunks = F.array().cast(f"array<array<{emits}>>")
-    first = start(nothing, no_chunks, state)
-    if not chunked:
-        return F.aggregate(items, first, advance, lambda acc: acc["out"])
-
-    def close_chunk(acc: Column) -> Column:
-        done = F.when(F.size(acc["out"]) > 0, F.concat(acc["done"], F.array(acc["out"]))).otherwise(acc["done"])
-        return start(nothing, done, {n: acc[n] for n in names})
-
-    return F.aggregate(
-        chunks(items),
-        first,
-        lambda acc, part: F.aggregate(part, acc, advance, close_chunk),
-        lambda acc: F.flatten(acc["done"]),
+        return let(step(acc, item), lambda new: joined(acc, new))
+
+    if chunk is None:
+        return F.aggregate(items, start(state), advance, lambda acc: acc["out"])
+
+    def part(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, start({n: acc[n] for n in names}), advance)
+        return let(inner, lambda new: joined(acc, new))
+
+    return let(
+        items, lambda all_items: F.aggregate(chunks(all_items, chunk), start(state), part, lambda acc: acc["out"])
+    )
+
+
+def running_starts(sizes: Column) -> Column:
+    """For each size, the sum of the sizes before it."""
+    return scan(
+        sizes,
+        {"at": F.lit(0)},
+        "int",
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array(acc["at"]).alias("out")),
     )
 
 

@@ -2,8 +2,8 @@
 
 Balanced brackets are written as possessive patterns unrolled to a fixed depth, so
 that matching is one linear pass without backtracking, in the JVM's own regex
-engine. A pattern is tried on the text up to the next signature, then on all the
-text that follows; what it cannot decide goes to the exact scan in `lexing`.
+engine. A pattern is tried on the text up to the next signature, then on a window, then
+on all the text that follows; what it cannot decide goes to the exact scan in `lexing`.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from repoloom.functions.rowscan import let
 from repoloom.operators.lexing import LUA_PART, LUA_WORDS, end_by_scan
 
 DEPTH = 30
+WINDOW = 3000
 
 
 def _nest(opener: str, gap: str, closer: str, depth: int = DEPTH) -> str:
@@ -176,6 +177,8 @@ def block_end(text: Column, s: Column, dialect: str) -> Column:
 
     own = _tail(s["piece"], at - s["idx"])
     rest = let(_tail(text, at), on_tail)
+    # Functions around others: a window usually holds them.
+    rest = F.when(F.length(s["piece"]) < WINDOW, matched(F.substring(text, at + 1, F.lit(WINDOW)), rest)).otherwise(rest)
     if dialect == "rust":
         rest = F.when(own.rlike(RUST_NO_BODY), F.lit(-1)).otherwise(rest)
     return matched(own, rest)
@@ -204,7 +207,12 @@ def _python_end(text: Column, s: Column) -> Column:
         size(_tail(text, at)),
         lambda n: F.when(n > 0, at + n).otherwise(end_by_scan(text, at, "python")),
     )
-    return let(
-        size(s["piece"]),
-        lambda n: F.when((n > 0) & (n < F.length(s["piece"])), at + n).otherwise(on_tail),
-    )
+
+    def within(piece: Column, otherwise: Column) -> Column:
+        """Decided when the line that ends the block lies in the piece."""
+        return let(
+            piece,
+            lambda p: let(size(p), lambda n: F.when((n > 0) & (n < F.length(p)), at + n).otherwise(otherwise)),
+        )
+
+    return within(s["piece"], within(F.substring(text, at + 1, F.lit(WINDOW)), on_tail))

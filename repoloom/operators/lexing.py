@@ -349,7 +349,7 @@ def end_by_scan(text: Column, k: Column, dialect: str) -> Column:
     """End (exclusive) of the block asked about at k, lexing from there on; -1 = none."""
     rest = F.concat(F.lit(MARK), F.substring(text, k + 1, F.length(text)))
     return F.aggregate(
-        scan(pieces(rest, dialect), _start(), FOUND, STEPS[dialect]),
+        scan(pieces(rest, dialect), _start(), FOUND, STEPS[dialect], chunk=None),
         F.lit(-1),
         lambda acc, f: F.when((f["k"] == 0) & (f["e"] >= 0), f["e"] + k).otherwise(acc),
     )

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from repoloom.functions.rowscan import fenced, let, scan
 from repoloom.functions.text import is_blank, md_anchor
 
-NESTED = "struct<ord:int,parent_ord:int,depth:int,name:string,qualified_name:string,start:int,end:int>"
-STACKED = "struct<ord:int,start:int,end:int,qualified_name:string>"
+STACKED = "struct<ord:int,start:int,end:int>"
 SEGMENT = "struct<kind:string,ord:int,start:int,end:int>"
 
 
@@ -45,33 +44,36 @@ def nested(spans: Column) -> Column:
             & (s["end"] <= p["end"])
             & ((s["start"] > p["start"]) | (s["end"] < p["end"])),
         )
-
-        def place(stack: Column) -> Column:
-            top = F.get(stack, F.size(stack) - 1)
-            full = F.when(F.size(stack) == 0, s["name"]).otherwise(
-                F.concat(top["qualified_name"], F.lit("."), s["name"])
-            )
-            entry = F.struct(
-                acc["ord"].alias("ord"),
-                F.coalesce(top["ord"], F.lit(0)).alias("parent_ord"),
-                F.size(stack).alias("depth"),
-                s["name"].alias("name"),
-                full.alias("qualified_name"),
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-            )
-            item = F.struct(
-                acc["ord"].alias("ord"), s["start"].alias("start"), s["end"].alias("end"), full.alias("qualified_name")
-            )
-            return F.struct(
+        item = F.struct(acc["ord"].alias("ord"), s["start"].alias("start"), s["end"].alias("end"))
+        return let(
+            holds,
+            lambda stack: F.struct(
                 (acc["ord"] + 1).alias("ord"),
                 F.concat(stack, F.array(item)).alias("stack"),
-                F.array(entry).alias("out"),
-            )
+                F.array(F.transform(stack, lambda p: p["ord"])).alias("out"),
+            ),
+        )
 
-        return let(holds, place)
+    def named(ordered: Column) -> Column:
+        numbers = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        chains = scan(numbers, {"ord": F.lit(1), "stack": _none(STACKED)}, "array<int>", step)
+        pairs = F.zip_with(ordered, chains, lambda s, above: F.struct(s.alias("s"), above.alias("above")))
+        return F.transform(
+            pairs,
+            lambda p, i: F.struct(
+                (i + 1).alias("ord"),
+                F.coalesce(F.get(p["above"], F.size(p["above"]) - 1), F.lit(0)).alias("parent_ord"),
+                F.size(p["above"]).alias("depth"),
+                p["s"]["name"].alias("name"),
+                F.array_join(
+                    F.concat(F.transform(p["above"], lambda o: F.get(ordered, o - 1)["name"]), F.array(p["s"]["name"])), "."
+                ).alias("qualified_name"),
+                p["s"]["start"].alias("start"),
+                p["s"]["end"].alias("end"),
+            ),
+        )
 
-    return scan(spans, {"ord": F.lit(1), "stack": _none(STACKED)}, NESTED, step)
+    return let(spans, named)
 
 
 def occurrences(entries: Column) -> Column:

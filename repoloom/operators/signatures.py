@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from repoloom.functions.rowscan import let, running_starts
+
 MARK, END, SEP, STAND_IN = "\x01", "\x02", "\x03", "\x04"
 
 # Signature patterns and the group that holds the name. `^` follows a
@@ -62,7 +64,9 @@ CSHARP_KEYWORDS = "if for foreach while switch catch using lock return throw do
 JS_KEYWORDS = "if for while switch catch function else do try constructor".split()
 JAVA_KEYWORDS = "if for while switch catch return new throw do".split()
 
-SIGNATURE = "struct<rule:string,name:string,idx:int,brace:int,piece:string>"
+# A match with the text up to the next one and the last characters above it.
+ABOVE = 1000
+SIGNATURE = "struct<rule:string,name:string,idx:int,brace:int,piece:string,above:string>"
 
 
 def clean_marks(text: Column) -> Column:
@@ -74,25 +78,39 @@ def matches(text: Column, rule: str) -> Column:
     pattern, group = PATTERNS[rule]
     marked = F.regexp_replace(text, FLAGS + pattern, f"{MARK}${group}{END}$0{SEP}")
 
-    # The first piece is the text before any match; its offset is not known yet (-1).
-    def step(acc: Column, item: Column) -> Column:
-        first = acc["off"] < 0
-        name = F.substring_index(item, END, 1)
-        piece = F.replace(F.substring(item, F.length(name) + 2, F.length(item)), F.lit(SEP), F.lit(""))
-        found = F.struct(
-            F.lit(rule).alias("rule"),
-            name.alias("name"),
-            acc["off"].alias("idx"),
-            (acc["off"] + BRACE[rule](item, name)).alias("brace"),
-            piece.alias("piece"),
+    # After the split: the text before any match, then name, match and rest of each.
+    def located(items: Column) -> Column:
+        plain = F.transform(
+            items,
+            lambda item, i: F.when(i == 0, item).otherwise(
+                F.replace(F.substring(item, F.instr(item, END) + 1, F.length(item)), F.lit(SEP), F.lit(""))
+            ),
+        )
+        return let(
+            plain,
+            lambda texts: let(
+                running_starts(F.transform(texts, F.length)), lambda starts: described(items, texts, starts)
+            ),
         )
-        return F.struct(
-            F.when(first, F.length(item)).otherwise(acc["off"] + F.length(piece)).alias("off"),
-            F.when(first, acc["out"]).otherwise(F.concat(acc["out"], F.array(found))).alias("out"),
+
+    def described(items: Column, texts: Column, starts: Column) -> Column:
+        return F.transform(
+            F.slice(items, F.lit(2), F.size(items)),
+            lambda item, i: let(
+                F.substring_index(item, END, 1),
+                lambda name: F.struct(
+                    F.lit(rule).alias("rule"),
+                    name.alias("name"),
+                    F.get(starts, i + 1).alias("idx"),
+                    (F.get(starts, i + 1) + BRACE[rule](item, name)).alias("brace"),
+                    F.get(texts, i + 1).alias("piece"),
+                    F.substring(F.get(texts, i), -ABOVE, ABOVE).alias("above"),
+                ),
+            ),
         )
 
-    start = F.struct(F.lit(-1).alias("off"), F.array().cast(f"array<{SIGNATURE}>").alias("out"))
-    return F.aggregate(F.split(marked, MARK, -1), start, step, lambda acc: acc["out"])
+    items = F.split(marked, MARK, -1)
+    return let(items, lambda a: F.when(F.size(a) > 1, located(a)).otherwise(F.array().cast(f"array<{SIGNATURE}>")))
 
 
 def _match_end(item: Column, name: Column) -> Column:
@@ -134,6 +152,7 @@ def csharp_types(text: Column) -> Column:
             m["idx"].alias("idx"),
             m["brace"].alias("brace"),
             m["piece"].alias("piece"),
+            m["above"].alias("above"),
         ),
     )
 

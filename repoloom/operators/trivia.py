@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from repoloom.functions.rowscan import let
+from repoloom.operators.signatures import ABOVE
 
-WINDOW = 2000
 WS = r"[\s&&[^\n]]*+"
 EOL = r"(?=\n|\z)"
 BLANK = rf"\n{WS}{EOL}"
@@ -49,21 +49,28 @@ WALKS = {
 }
 
 
-def leading_start(reversed_text: Column, idx: Column, dialect: str) -> Column:
-    """Start of the function whose signature starts at `idx`, trivia included."""
-    skip = F.length(reversed_text) - idx
-    near = F.substring(reversed_text, skip + 1, F.lit(WINDOW))
+def leading_start(text: Column, s: Column, dialect: str) -> Column:
+    """Start of the function with signature `s`, trivia included.
 
-    def size(above: Column) -> Column:
-        return F.length(F.regexp_extract(above, WALKS[dialect], 0))
+    The lines between the signature before (which starts a line) and this one decide
+    nearly always: the line that stops the walk must lie among them as a whole. If not,
+    all the text above is read.
+    """
+    idx, above = s["idx"], s["above"]
 
-    def decide(above: Column) -> Column:
-        """The window decides when the line that stopped the walk lies in it as a whole."""
+    def size(lines: Column) -> Column:
+        return F.length(F.regexp_extract(lines, WALKS[dialect], 0))
+
+    def decide(lines: Column) -> Column:
+        whole = (F.length(lines) == idx) | (F.length(lines) < ABOVE)
         return let(
-            size(above),
+            size(lines),
             lambda n: F.when(
-                (idx <= WINDOW) | (F.call_function("locate", F.lit("\n"), above, n + 2) > 0), idx - n
-            ).otherwise(idx - size(F.substring(reversed_text, skip + 1, F.length(reversed_text)))),
+                (F.length(lines) == idx)
+                | (whole & (n < F.length(lines)))
+                | (F.call_function("locate", F.lit("\n"), lines, n + 2) > 0),
+                idx - n,
+            ).otherwise(idx - size(F.reverse(F.substring(text, F.lit(1), idx)))),
         )
 
-    return F.when(idx == 0, F.lit(0)).otherwise(let(near, decide))
+    return F.when(idx == 0, F.lit(0)).otherwise(let(F.reverse(above), decide))

@@ -12,7 +12,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoloom.functions.rowscan import fenced, let
+from repoloom.functions.rowscan import fenced, let, scan
 from repoloom.operators import signatures as sig
 from repoloom.operators.blocks import block_end
 from repoloom.operators.trivia import leading_start
@@ -91,13 +91,13 @@ def signatures(units: DataFrame) -> DataFrame:
 
 def _lexed_spans(dialect: str) -> Column:
     """Signatures with start and end; those without a body are dropped."""
-    text, back = F.col("lex_text"), F.col("back_text")
+    text = F.col("lex_text")
     spans = F.transform(
         F.col("sigs"),
         lambda s: F.struct(
             s["rule"].alias("rule"),
             s["name"].alias("name"),
-            leading_start(back, s["idx"], dialect).alias("start"),
+            leading_start(text, s, dialect).alias("start"),
             block_end(text, s, dialect).alias("end"),
             s["brace"].alias("body"),
         ),
@@ -110,12 +110,30 @@ def is_type(span: Column) -> Column:
 
 
 def without_inner(types: Column, others: Column) -> Column:
-    """Types in whose body none of the other spans starts."""
-    return F.filter(
-        types,
-        lambda t: ~F.exists(others, lambda s: (s["start"] > t["body"]) & (s["start"] < t["end"])),
+    """Types in whose body none of the other spans starts.
+
+    One pass from the last position to the first knows, at each body, the nearest start
+    after it; that one decides. Starts at the body itself do not count, so they are met
+    after it.
+    """
+    points = F.concat(
+        F.transform(others, lambda s: F.struct((-s["start"]).alias("at"), F.lit(1).alias("kind"), F.lit(-1).alias("nth"))),
+        F.transform(types, lambda t, i: F.struct((-t["body"]).alias("at"), F.lit(0).alias("kind"), i.alias("nth"))),
     )
 
+    def step(acc: Column, p: Column) -> Column:
+        is_start = p["kind"] == 1
+        return F.struct(
+            F.when(is_start, -p["at"]).otherwise(acc["next"]).alias("next"),
+            F.when(is_start, F.array().cast("array<struct<nth:int,next:int>>"))
+            .otherwise(F.array(F.struct(p["nth"].alias("nth"), acc["next"].alias("next"))))
+            .alias("out"),
+        )
+
+    found = F.array_sort(scan(F.array_sort(points), {"next": F.lit(2147483647)}, "struct<nth:int,next:int>", step))
+    kept = F.zip_with(types, found, lambda t, f: F.when(f["next"] >= t["end"], t))
+    return F.filter(kept, lambda t: t.isNotNull())
+
 
 def leaf_types(spans: Column) -> Column:
     """C# types without a method or another type starting inside their body."""
@@ -158,8 +176,7 @@ def _raw_spans() -> Column:
 def all_spans(units: DataFrame) -> DataFrame:
     """Add `raw_spans`: spans per file, for C# with every type, leaf or not."""
     df = signatures(units)
-    df = df.withColumn("back_text", F.when(F.size("sigs") > 0, F.reverse("lex_text")))
-    return fenced(df, raw_spans=_raw_spans()).drop("back_text")
+    return fenced(df, raw_spans=_raw_spans())
 
 
 def valid_spans(spans: Column, length: Column) -> Column:

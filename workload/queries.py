@@ -91,7 +91,7 @@ def sig_csharp_type(spark, sf):
     """Braced C# types and which of them are leaves."""
     df = fn.all_spans(code_units(spark, sf)).filter(F.col("dialect") == "csharp")
     leaves = F.transform(fn.leaf_types(F.col("raw_spans")), lambda t: t["start"])
-    df = df.select("path", leaves.alias("leaves"), F.inline(F.filter("raw_spans", fn.is_type)))
+    df = df.withColumn("leaves", leaves).select("path", "leaves", F.inline(F.filter("raw_spans", fn.is_type)))
     return df.select(
         "path", "name", long("start", "start_pos"), long("end", "end_pos"),
         F.array_contains("leaves", F.col("start")).alias("is_leaf"),

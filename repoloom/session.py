@@ -49,3 +49,14 @@ def pinned(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out when a stored input has fewer splits than there are cores.
+
+    A table stored as one small row group would keep all later per-file work in one
+    task. A large input has many splits and passes through unchanged. For plain scans
+    only: counting the partitions plans the input.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

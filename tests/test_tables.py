@@ -116,7 +116,7 @@ My_P/
 - [img/x 1.png](#{2})
 - [src/a.py](#{3})
   - [f](#{4})
-  - [f (2)](#{5})
+  - [f \\(2\\)](#{5})
 
 <a name="{0}"></a>
 ### README.md
@@ -152,7 +152,7 @@ def f():
 ~~~
 
 <a name="{5}"></a>
-#### f (2)
+#### f \\(2\\)
 
 ~~~python
 def f():

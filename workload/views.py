@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from repoloom.session import spread
+
 CODE_FILES = r"""
 SELECT k, repo, branch, path, replace(replace(tpl, '~', chr(10)), '@k', cast(k AS varchar(20))) AS content FROM (
  SELECT p_partkey AS k, p_type AS repo, 'main' AS branch,
@@ -21,7 +23,7 @@ SELECT k, repo, branch, path, replace(replace(tpl, '~', chr(10)), '@k', cast(k A
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     df.createOrReplaceTempView(name)
     return df
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from repoloom.functions.paths import WHITE_SPACE
+from repoloom.functions.rowscan import let
 
 
 def is_blank(value: Column) -> Column:
@@ -32,9 +33,9 @@ def md_anchor(value: Column) -> Column:
 
 def md_code_block(language: Column, value: Column) -> Column:
     """Fenced block, null for blank text."""
-    return F.when(
-        ~is_blank(value),
-        F.concat(F.lit("~~~"), language, F.lit("\n"), trim_end(value), F.lit("\n~~~\n\n")),
+    return let(
+        trim_end(value),
+        lambda code: F.when(code != "", F.concat(F.lit("~~~"), language, F.lit("\n"), code, F.lit("\n~~~\n\n"))),
     )
 
 

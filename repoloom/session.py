@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,13 +43,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Store `df` reliably and read it back, so that it is computed once.
+    """Store `df` as a table in the checkpoint folder and read it back.
 
-    Used where two branches of a plan must see identical rows (partition
-    numbers of a sampled range partitioning) or where the input is costly.
+    Used where two branches of a plan must see identical rows (partition numbers of a
+    sampled range partitioning) or where the input is costly. Unlike `checkpoint()`,
+    which runs the plan once to count and once more to write, this computes it once,
+    and later reads take only the columns they need. The table stays until the folder
+    is cleaned, as checkpoints do.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    home = f"{ensure_checkpoint_dir(spark)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(home)
+    return spark.read.schema(df.schema).parquet(home)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repoloom.session import pinned
+
 
 def write_markdown(blocks: DataFrame, out_dir: str) -> None:
     """UTF-8 text, one folder per repository and branch, part files in document order.
 
     Blocks are range-partitioned by their place, so the part files of a document, read
-    by name, give it from start to end; a small document is one part file.
+    by name, give it from start to end; a small document is one part file. The blocks are
+    stored first, because finding the ranges reads them once more.
     """
     order = ["repo", "branch", "part", "key", "path"]
     (
-        blocks.repartitionByRange(*order)
+        pinned(blocks)
+        .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select("repo", "branch", F.expr("left(text, length(text) - 1)").alias("value"))
         .write.partitionBy("repo", "branch")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from repoloom.llm.licenses import OP2_SQL, op2_license_scan
 from repoloom.llm.packing import op9_packing
+from repoloom.llm.replies import OP7_SQL, op7_chat_format
 from repoloom.llm.simhash import op10_simhash_near_dedup
 from repoloom.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op3_token_files": op3_token_files,
+    "op7_chat_format": op7_chat_format,
     "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": OP2_SQL,
+    "op7_chat_format": OP7_SQL,
+}

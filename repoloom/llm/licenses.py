@@ -129,7 +129,7 @@ OP2_SQL = f"""
 WITH t AS (SELECT *, CASE WHEN phrase THEN {SEED_WORDS} ELSE {TEXT_WORDS} END AS k FROM (VALUES {_values()}) v(template, label, phrase, tw)),
 g AS (SELECT template, label, phrase, k, len(tw) - k + 1 AS grams, p AS tpos, list_slice(tw, p + 1, p + k) AS gram
       FROM (SELECT *, unnest(range(len(tw) - k + 1)) AS p FROM t)),
-d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS words FROM documents),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents),
 p AS (SELECT doc_id, words, unnest(range(len(words))) AS pos FROM d),
 q AS (SELECT doc_id, pos, words[pos + 1] AS w1, list_slice(words, pos + 1, pos + 2) AS g2, list_slice(words, pos + 1, pos + 4) AS g4 FROM p),
 h AS (SELECT doc_id, template, label, phrase, k, grams, pos - tpos AS diagonal, tpos FROM q JOIN g ON q.w1 = g.gram[1] AND g.gram = CASE WHEN g.phrase THEN g2 ELSE g4 END),

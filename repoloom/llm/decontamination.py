@@ -3,8 +3,9 @@
 Texts and items are words (runs of letters and digits, lower-cased). A text is contaminated by an
 item of n words if a passage is within floor(n * (1 - `SIMILARITY`)) word edits of it. Around every
 word starts an item-sized window. An edit spoils one word and two pairs of neighbours at most, so a
-window with fewer than n - k words, or n - 1 - 2k word pairs, of any item can't be within
-k edits; it is left out, which loses nothing. The CGK random walk
+window with fewer than n - k words, or n - 2 - 2k word pairs, of any item can't be within
+k edits; it is left out, which loses nothing (a pair that repeats itself at once counts as
+one, if it does so in no item). The CGK random walk
 maps a window to 3n words: step j writes the word under the cursor and moves on or stays by a
 random bit of (j, word), so that windows at small edit distance agree in most coordinates.
 Hashes of `SAMPLE` random coordinates, `TABLES` times for each of `WALKS` walks, find
@@ -71,6 +72,8 @@ class Items:
         self.pairs = np.zeros(PAIR_BITS, bool)  # by hash; a wrong hit only lets a window through
         for ids in self.names:
             self.pairs[self.pair(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64))] = True
+        runs = {a for ids in self.names for a, b, c in zip(ids, ids[1:], ids[2:]) if a == b == c}
+        self.runs = np.array(sorted(runs), np.int64)
         self.longest = max(self.by_length, default=0)
         self.pad = max(self.edits.values(), default=0)
         random = np.random.default_rng(seed)
@@ -119,27 +122,38 @@ class Items:
         ends = np.cumsum(sizes + self.pad + 1) - self.pad - 1
         flat = np.concatenate(ids)
         known = np.r_[0, np.cumsum(flat > 0)]
-        twos = np.r_[0, np.cumsum(self.pairs[self.pair(flat[:-1], flat[1:])] & (flat[:-1] > 0) & (flat[1:] > 0))]
+        pairs = self.pairs[self.pair(flat[:-1], flat[1:])] & (flat[:-1] > 0) & (flat[1:] > 0)
+        pairs[1:] &= (flat[:-2] != flat[1:-1]) | (flat[1:-1] != flat[2:]) | np.isin(flat[1:-1], self.runs)
+        twos = np.r_[0, np.cumsum(pairs)]
         text_at = np.repeat(np.arange(len(texts)), sizes + self.pad + 1)
         best: dict[tuple[int, tuple[int, ...]], tuple[int, int, int]] = {}
         for n, group in self.by_length.items():
-            k = self.edits[n]
+            k, items = self.edits[n], np.array(group)
             if len(flat) < n:
                 continue
             starts = np.flatnonzero(known[n:] - known[:-n] >= n - k)
-            starts = starts[twos[starts + n - 1] - twos[starts] >= n - 1 - 2 * k]
+            starts = starts[twos[starts + n - 1] - twos[starts] >= n - 2 - 2 * k]
             starts = starts[starts + n <= ends[text_at[starts]] + k]
             for i in range(0, len(starts), 1 << 14):
                 part = starts[i : i + (1 << 14)]
                 keys = self.keys(flat[part[:, None] + np.arange(n)], n)
-                found = set()
+                found: set[tuple[int, int]] = set()
                 for mine, (table, order) in zip(keys, self.tables[n]):
                     lo, hi = np.searchsorted(table, mine), np.searchsorted(table, mine, "right")
                     for x in np.flatnonzero(hi > lo):
                         found.update((int(part[x]), int(o)) for o in order[lo[x] : hi[x]])
+                exact = set()
+                for s, o in sorted(found):
+                    t = int(text_at[s])
+                    if (t, o) not in exact and s + n <= ends[t] and np.array_equal(flat[s : s + n], items[o]):
+                        exact.add((t, o))
+                        key, place = (t, group[o]), (0, s - int(ends[t] - sizes[t]), n)
+                        best[key] = min(best.get(key, place), place)
                 for s, o in found:
                     t = int(text_at[s])
-                    edits, size = end_free_distance(np.array(group[o]), flat[s : min(s + n + k, int(ends[t]))], k)
+                    if (t, o) in exact:
+                        continue
+                    edits, size = end_free_distance(items[o], flat[s : min(s + n + k, int(ends[t]))], k)
                     if edits <= k:
                         place = (edits, s - int(ends[t] - sizes[t]), size)
                         key = (t, group[o])

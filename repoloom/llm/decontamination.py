@@ -3,8 +3,8 @@
 Texts and items are words (runs of letters and digits, lower-cased). A text is contaminated by an
 item of n words if a passage is within floor(n * (1 - `SIMILARITY`)) word edits of it. Around every
 word starts an item-sized window. An edit spoils one word and two pairs of neighbours at most, so a
-window with fewer than n - k words, or n - 2 - 2k word pairs, of any item can't be within
-k edits; it is left out, which loses nothing (a pair that repeats itself at once counts as
+window with fewer than n - k words of any item, or n - 2 - 2k word pairs of items of n words,
+can't be within k edits; it is left out, which loses nothing (a pair that repeats itself at once counts as
 one, if it does so in no item). The CGK random walk
 maps a window to 3n words: step j writes the word under the cursor and moves on or stays by a
 random bit of (j, word), so that windows at small edit distance agree in most coordinates.
@@ -35,7 +35,7 @@ SIMILARITY = 0.8
 WALKS, TABLES, SAMPLE = 8, 8, 4
 ITEMS = 20_000
 #: Size of the table of word pairs, far above the pairs of one block.
-PAIR_BITS = 1 << 24
+PAIR_SLOTS = 1 << 22
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -69,9 +69,11 @@ class Items:
         for ids in self.names:
             self.by_length[len(ids)].append(ids)
         self.edits = {n: int(n * (1 - similarity) + 1e-9) if n >= 5 else 0 for n in self.by_length}
-        self.pairs = np.zeros(PAIR_BITS, bool)  # by hash; a wrong hit only lets a window through
+        # word pairs by hash, a bit for each length of items; a wrong hit only lets a window through
+        self.pairs = np.zeros(PAIR_SLOTS, np.uint64)
+        self.bit = {n: np.uint64(1 << (i % 64)) for i, n in enumerate(sorted(self.by_length))}
         for ids in self.names:
-            self.pairs[self.pair(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64))] = True
+            self.pairs[self.pair(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64))] |= self.bit[len(ids)]
         runs = {a for ids in self.names for a, b, c in zip(ids, ids[1:], ids[2:]) if a == b == c}
         self.runs = np.array(sorted(runs), np.int64)
         self.longest = max(self.by_length, default=0)
@@ -90,7 +92,7 @@ class Items:
 
     @staticmethod
     def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a * 0x9E3779B1 + b * 0x85EBCA77) % PAIR_BITS
+        return (a * 0x9E3779B1 + b * 0x85EBCA77) % PAIR_SLOTS
 
     def keys(self, windows: np.ndarray, n: int) -> list[np.ndarray]:
         """Hashes of the windows (rows of n ids), one array for each walk and table."""
@@ -122,17 +124,28 @@ class Items:
         ends = np.cumsum(sizes + self.pad + 1) - self.pad - 1
         flat = np.concatenate(ids)
         known = np.r_[0, np.cumsum(flat > 0)]
-        pairs = self.pairs[self.pair(flat[:-1], flat[1:])] & (flat[:-1] > 0) & (flat[1:] > 0)
-        pairs[1:] &= (flat[:-2] != flat[1:-1]) | (flat[1:-1] != flat[2:]) | np.isin(flat[1:-1], self.runs)
-        twos = np.r_[0, np.cumsum(pairs)]
+        pairs = self.pairs[self.pair(flat[:-1], flat[1:])]
+        pairs[(flat[:-1] == 0) | (flat[1:] == 0)] = 0
+        pairs[1:][(flat[:-2] == flat[1:-1]) & (flat[1:-1] == flat[2:]) & ~np.isin(flat[1:-1], self.runs)] = 0
+        paired = np.flatnonzero(pairs)
+        pairs = pairs[paired]
         text_at = np.repeat(np.arange(len(texts)), sizes + self.pad + 1)
         best: dict[tuple[int, tuple[int, ...]], tuple[int, int, int]] = {}
         for n, group in self.by_length.items():
             k, items = self.edits[n], np.array(group)
             if len(flat) < n:
                 continue
-            starts = np.flatnonzero(known[n:] - known[:-n] >= n - k)
-            starts = starts[twos[starts + n - 1] - twos[starts] >= n - 2 - 2 * k]
+            need = n - 2 - 2 * k
+            if need > 0:  # windows with so many pairs: from the first to the last of as many in a row
+                at = paired[(pairs & self.bit[n]) > 0]
+                first, last = at[: max(0, len(at) - need + 1)], at[need - 1 :]
+                near = last - first <= n - 2
+                low, high = np.maximum(last[near] - (n - 2), 0), np.minimum(first[near], len(flat) - n)
+                size = np.maximum(high - low + 1, 0)
+                starts = np.unique(np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum()))
+            else:
+                starts = np.arange(len(flat) - n + 1)
+            starts = starts[known[starts + n] - known[starts] >= n - k]
             starts = starts[starts + n <= ends[text_at[starts]] + k]
             for i in range(0, len(starts), 1 << 14):
                 part = starts[i : i + (1 << 14)]

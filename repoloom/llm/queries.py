@@ -7,6 +7,7 @@ from repoloom.llm.licenses import OP2_SQL, op2_license_scan
 from repoloom.llm.packing import op9_packing
 from repoloom.llm.replies import OP7_SQL, op7_chat_format
 from repoloom.llm.simhash import op10_simhash_near_dedup
+from repoloom.llm.suffix_dedup import op8_suffix_dedup
 from repoloom.llm.token_files import op3_token_files
 from repoloom.llm.toxicity import op1_toxicity
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op6_decontamination": op6_decontamination,
     "op7_chat_format": op7_chat_format,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

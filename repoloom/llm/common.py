@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,12 +10,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoloom.session import pinned
+from repoloom.session import ensure_checkpoint_dir
 
 
 def stored(df: DataFrame) -> DataFrame:
     """`df` as a table in the shared checkpoint folder: computed once, safe from lost executors."""
-    return pinned(df)
+    spark, path = df.sparkSession, f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:

@@ -3,7 +3,7 @@
 A byte goes if it lies in a string of `min_bytes` bytes (a window) that starts anywhere else too.
 
 1. Anchors. In every window the `GRAM`-byte string of the smallest hash is its anchor; equal windows
-   have equal anchors, about one byte in 85 is one. Anchors whose hash occurs once in the
+   have equal anchors, about one byte in 70 is one. Anchors whose hash occurs once in the
    corpus can't lie in a repeated window, so only documents with others go on.
 2. Shards. Each task concatenates the surroundings of repeated anchors to shards of
    `SHARD_BYTES`, sorts their suffixes by Larsson and Sadakane's refinement (groups of equal
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from repoloom.llm.common import blocks, stored, text_key
 
 MIN_BYTES = 200
-GRAM = 32
+GRAM = 64
 SHARD_BYTES = 3 << 20
 PIECE_BYTES = 2 << 20
 HOT = 200_000

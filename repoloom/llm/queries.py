@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from repoloom.llm.decontamination import op6_decontamination
+from repoloom.llm.embedding_dedup import op5_embedding_near_dedup
 from repoloom.llm.licenses import OP2_SQL, op2_license_scan
 from repoloom.llm.packing import op9_packing
 from repoloom.llm.replies import OP7_SQL, op7_chat_format
 from repoloom.llm.simhash import op10_simhash_near_dedup
 from repoloom.llm.suffix_dedup import op8_suffix_dedup
+from repoloom.llm.token_counts import op4_token_counts
 from repoloom.llm.token_files import op3_token_files
 from repoloom.llm.toxicity import op1_toxicity
 
@@ -15,6 +17,8 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op3_token_files": op3_token_files,
+    "op4_token_counts": op4_token_counts,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_chat_format": op7_chat_format,
     "op8_suffix_dedup": op8_suffix_dedup,

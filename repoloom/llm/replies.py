@@ -48,7 +48,8 @@ def jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     while 1 << len(levels) < most and not now.filter("up is not null").isEmpty():
         levels.append(now.filter("up is not null").select("tree", "node", "up"))
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        now = stored(now.join(above, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")))
+        moved = now.filter("up is not null").join(above, ["tree", "up"], "left")
+        now = stored(now.filter("up is null").unionByName(moved.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))))
     return levels, now.filter("up is null").drop("up")
 
 

@@ -30,7 +30,7 @@ from repoloom.llm.components import components
 COSINE = 0.93
 MOST, CENTERS, OVERLAP = 3000, 8, 2
 POOL, FAR, DEGREE, ALPHA = 64, 8, 24, 1.2
-BEAM, SLACK = 32, 11.0
+BEAM, SLACK = 24, 4.0
 QUERIES = 4000
 AUDIT, RECALL = 500, 0.95
 
@@ -141,11 +141,13 @@ def _search(beam: int, threshold: float):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         members = members.sort_values("cls")
         x, names = np.stack(members["x"].to_list()), members["cls"].to_numpy()
-        near = []
-        for v in members["near"]:
-            at = np.searchsorted(names, v)
-            at[at == len(names)] = 0
-            near.append(at[names[at] == v])
+        lists = [np.asarray(v, np.int64) for v in members["near"]]
+        size = np.array([len(v) for v in lists])
+        flat = np.concatenate(lists)
+        at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+        here = names[at] == flat  # neighbours in other shards are searched there
+        flat, size = at[here], np.add.reduceat(np.r_[here, False].astype(np.int64), np.cumsum(size) - size) * (size > 0)
+        first = np.cumsum(size) - size
         start, a, b = medoid(x), [], []
         reach = threshold - 0.03
         for name, q in zip(queries["cls"], queries["x"]):
@@ -160,8 +162,9 @@ def _search(beam: int, threshold: float):
                 if not len(top):
                     break
                 done[top] = True
-                new = np.unique(np.concatenate([near[i] for i in top]))
-                new = new[sim[new] == -2]
+                n = size[top]
+                new = flat[np.repeat(first[top] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                new = np.unique(new[sim[new] == -2])
                 sim[new] = x[new] @ q
                 found = np.concatenate([found, new])
             hit = found[sim[found] >= threshold]

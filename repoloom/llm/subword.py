@@ -26,7 +26,7 @@ SINGLE = re.compile(r"(?<=\S) (?=\S)")
 #: Words are encoded together in texts of so many.
 TOGETHER = 4000
 #: The caches start anew beyond so many words, or so many characters of strings.
-MOST_WORDS, MOST_CHARS = 3_000_000, 30_000_000
+MOST_WORDS, MOST_CHARS = 1_500_000, 30_000_000
 #: Longer texts are cut at single spaces, which takes no arrays of the text's size.
 LONGEST = 16 << 20
 
@@ -39,9 +39,10 @@ _SPACE, _LINE, _QUOTE = 32, 10, 39
 class Subwords:
     @staticmethod
     def of(path: str) -> Subwords:
-        """The worker's own, kept for its next task."""
+        """The worker's own, kept for its next task; one at a time, to bound its memory."""
         held = sys.__dict__.setdefault("_repoloom_subwords", {})
         if path not in held:
+            held.clear()
             held[path] = Subwords(path)
         return held[path]
 

@@ -149,8 +149,8 @@ def common_prefixes(order: np.ndarray, word: np.ndarray, most: int, lanes: int =
 
 def repeated_in_shard(pieces: list[bytes], min_bytes: int) -> list[np.ndarray]:
     """For each piece, where windows start that start elsewhere in the shard too."""
-    # 255 is in no UTF-8 text, and the number after it is the piece's own
-    b = np.frombuffer(b"".join(p + b"\xff" + i.to_bytes(7, "big") for i, p in enumerate(pieces)), np.uint8)
+    # 255 is in no UTF-8 text, and the number after it is the piece's own; the last byte tells suffixes of zeros apart
+    b = np.frombuffer(b"".join(p + b"\xff" + i.to_bytes(7, "big") for i, p in enumerate(pieces)) + b"\xfe", np.uint8)
     size = np.array([len(p) for p in pieces])
     order, word = suffix_array(b)
     again = common_prefixes(order, word, min_bytes) >= min_bytes

@@ -2,7 +2,7 @@
 
 Training (labelled rows, at most about `TRAIN_ROWS`, chosen by a hash of the id): a word enters the
 lexicon if the lower confidence bound of its share of toxic documents is `LEAST_SHARE` or more.
-Near copies count once, as one group per least word hash. Windows of `CONTEXT` words around hits
+Near copies count once, as one group per least hash of a word pair. Windows of `CONTEXT` words around hits
 give words of context their log odds, and a logistic regression weighs the counts of hits.
 
 Scoring: the lexicon is a trie. The Levenshtein automata of all its terms run over the trie at
@@ -187,8 +187,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if not kinds.get(0) or not kinds.get(1):
         return Model([], {}, None)
 
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))
-    grouped = train.select("toxic", words.alias("ws")).withColumn("group", F.array_min(F.transform("ws", lambda w: F.xxhash64(w))))
+    words = train.select("toxic", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+").alias("all"))
+    pairs = F.zip_with("all", F.slice("all", 2, F.size("all")), lambda a, b: F.xxhash64(a, b))
+    grouped = words.select("toxic", F.array_distinct("all").alias("ws"), F.array_min(pairs).alias("group"))
     votes = grouped.select("toxic", "group", F.explode("ws").alias("word")).filter("length(word) between 3 and 30")
     votes = votes.groupBy("word", "group").agg(F.avg("toxic").alias("t")).groupBy("word").agg(F.sum(F.when(F.col("t") > 0.5, 1).otherwise(0)).alias("t"), F.count("*").alias("n"))
     share, z2 = F.col("t") / F.col("n"), 1.64**2

@@ -177,8 +177,10 @@ def block_end(text: Column, s: Column, dialect: str) -> Column:
 
     own = _tail(s["piece"], at - s["idx"])
     rest = let(_tail(text, at), on_tail)
-    # Functions around others: a window usually holds them.
-    rest = F.when(F.length(s["piece"]) < WINDOW, matched(F.substring(text, at + 1, F.lit(WINDOW)), rest)).otherwise(rest)
+    # Functions around others: a window usually holds them. It ends with a line, which no
+    # word and no quoted character crosses.
+    window = F.regexp_extract(F.substring(text, at + 1, F.lit(WINDOW)), r"(?s)\A.*\n", 0)
+    rest = F.when(F.length(s["piece"]) < WINDOW, matched(window, rest)).otherwise(rest)
     if dialect == "rust":
         rest = F.when(own.rlike(RUST_NO_BODY), F.lit(-1)).otherwise(rest)
     return matched(own, rest)

@@ -20,12 +20,12 @@ MARK, END, SEP, STAND_IN = "\x01", "\x02", "\x03", "\x04"
 FLAGS = r"(?md)(?U)"
 PATTERNS = {
     "csharp_method": (
-        r"^\s*+(?:\[[^\]]*+\]\s*+)*(?=[\w<>\[\],\s?@]*+\()(?:[\w<>\[\],\s?]+\s)?([@\w]++)\s*+\([^;{]*\)\s*+\{",
+        r"^\s*+(?:\[[^\]]*+\]\s*+)*+(?=[\w<>\[\],\s?@]*+\()(?:[\w<>\[\],\s?]+\s)?([@\w]++)\s*+\([^;{]*\)\s*+\{",
         1,
     ),
     "csharp_type": (
-        r"^\s*+(?:\[[^\]]*+\]\s*+)*"
-        r"(?:(?:public|private|protected|internal|static|abstract|sealed|partial|new|file)\s++)*"
+        r"^\s*+(?:\[[^\]]*+\]\s*+)*+"
+        r"(?:(?:public|private|protected|internal|static|abstract|sealed|partial|new|file)\s++)*+"
         r"((?:class|struct|interface|record)\s++[@\w]++)[^;{]*+\{",
         1,
     ),

@@ -70,7 +70,7 @@ BINARY = f"""(length(hx) > 0 AND (list_contains({PAIRS}, '00') OR {CONTROLS} * 1
 SNIFF = f"sb AS ({SNIFF_BYTES.format(charset='')})"
 ORACLES["sniff_binary"] = f"WITH {SNIFF} SELECT doc_id, {BINARY} AS is_binary FROM sb"
 ORACLES["control_char_count"] = f"WITH {SNIFF} SELECT doc_id, CAST({CONTROLS} AS BIGINT) AS controls FROM sb"
-ORACLES["sample_prefix"] = "SELECT doc_id, left(hex(encode(text)), 128) AS head FROM documents"
+ORACLES["sample_prefix"] = "SELECT doc_id, left(hex(encode(text)), 8192) AS head FROM documents"
 
 # Inventory in which every seventh file has no readable bytes; large from 1,000 bytes.
 INV = f"""{CLASSED},
@@ -158,7 +158,7 @@ def block(lang: str, text: str) -> str:
     return f"CASE WHEN trim({text}, {WS}) = '' THEN '' ELSE '~~~' || {lang} || chr(10) || rtrim({text}, {WS}) || chr(10) || '~~~' || chr(10) || chr(10) END"
 
 
-ORACLES["md_anchor"] = f"SELECT doc_id, {anchor('left(text, 400)')} AS anchor FROM documents"
+ORACLES["md_anchor"] = f"SELECT doc_id, {anchor('text')} AS anchor FROM documents"
 ORACLES["md_escape"] = f"SELECT page_id, {escape('html')} AS escaped FROM pages"
 ORACLES["md_code_block"] = f"SELECT doc_id, {block('lang', 'text')} AS block FROM documents"
 ORACLES["asset_link"] = f"""WITH {RF} SELECT doc_id, replace(url_encode('assets/' || replace(path, chr(92), '/') || ' (é).png'), '%2F', '/') AS link FROM rf"""

@@ -265,7 +265,7 @@ def control_char_count(spark, sf):
 
 @query
 def sample_prefix(spark, sf):
-    return repo_bytes(spark, sf).select("doc_id", F.hex(F.substring("content", 1, 64)).alias("head"))
+    return repo_bytes(spark, sf).select("doc_id", F.hex(F.substring("content", 1, 4096)).alias("head"))
 
 
 @query
@@ -392,7 +392,7 @@ def charset_alias(spark, sf):
 
 @query
 def md_anchor(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", ft.md_anchor(F.substring("text", 1, 400)).alias("anchor"))
+    return views.table(spark, sf, "documents").select("doc_id", ft.md_anchor(F.col("text")).alias("anchor"))
 
 
 @query

@@ -320,7 +320,8 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, hot: int = HOT)
 
     keyed = docs.select(*text_key(), "text")
     marks = stored(keyed.filter(F.octet_length("text") >= min_bytes).mapInArrow(mark, "_id long, _th long, h long, pos long"))
-    again = marks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    # stored, so that the join reads two plain exchanges and AQE can split an anchor of many documents
+    again = stored(marks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     found = marks.join(again, "h").groupBy("_id", "_th").agg(F.collect_list(F.struct("pos", "h", "n")).alias("marks"))  # a document's own
     likely = stored(keyed.join(found, ["_id", "_th"]))
     sent = stored(likely.select("_id", "_th", "text", "marks").mapInArrow(_shards(min_bytes, hot), SENT))

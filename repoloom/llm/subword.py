@@ -26,7 +26,7 @@ SINGLE = re.compile(r"(?<=\S) (?=\S)")
 #: Words are encoded together in texts of so many.
 TOGETHER = 4000
 #: The caches start anew beyond so many words, or so many characters of strings.
-MOST_WORDS, MOST_CHARS = 1_500_000, 30_000_000
+MOST_WORDS, MOST_CHARS = 600_000, 20_000_000
 #: Longer texts are cut at single spaces, which takes no arrays of the text's size.
 LONGEST = 16 << 20
 

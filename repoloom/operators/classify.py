@@ -77,9 +77,13 @@ def reject_reason(binary_content: Column) -> Column:
 def with_kind(classed: DataFrame, strict: bool = False) -> DataFrame:
     """Add `reason` and `kind` (image, pdf, text; null when rejected).
 
-    With `strict`, the first rejected file fails the job.
+    A file of a known type whose bytes are missing is rejected too. With `strict`, the
+    first rejected file fails the job.
     """
-    reason = reject_reason(looks_binary(F.col("content")))
+    reason = F.coalesce(
+        reject_reason(looks_binary(F.col("content"))),
+        F.when(F.col("content").isNull(), "file without readable bytes"),
+    )
     kind = F.when(F.col("is_image"), "image").when(F.col("is_pdf"), "pdf").otherwise("text")
     df = classed.withColumn("reason", reason).withColumn("kind", F.when(F.col("reason").isNull(), kind))
     if not strict:
@@ -92,6 +96,13 @@ def large_flag(size: Column, selectable: Column, limit: int = lk.LARGE_FILE_BYTE
     return F.coalesce(size >= limit, F.lit(False)) & selectable
 
 
+def file_size(columns: list[str]) -> Column:
+    """Listed size of a file where there is one, else the length of its bytes; unknown types are measured."""
+    measured = F.length("content").cast("bigint")
+    listed = F.coalesce(F.col("size"), measured) if "size" in columns else measured
+    return F.when(F.col("is_unknown"), measured).otherwise(listed)
+
+
 def inventory(files: DataFrame, large_bytes: int = lk.LARGE_FILE_BYTES) -> DataFrame:
     """One row per file: class, language, whether it can be selected, size, error, large.
 
@@ -102,8 +113,7 @@ def inventory(files: DataFrame, large_bytes: int = lk.LARGE_FILE_BYTES) -> DataF
     df = files.filter(~is_blank(F.col("path")))
     if "type" in df.columns:
         df = df.filter(F.lower("type") == "blob")
-    measured = F.length("content").cast("bigint")
-    size = F.coalesce(F.col("size"), measured) if "size" in df.columns else measured
+    size = file_size(df.columns)
     df = with_classes(df)
     selectable = F.when(
         F.col("is_unknown"), F.coalesce(~looks_binary(F.col("content")), F.lit(False))
@@ -115,7 +125,7 @@ def inventory(files: DataFrame, large_bytes: int = lk.LARGE_FILE_BYTES) -> DataF
         file_class().alias("class"),
         "language",
         selectable.alias("selectable"),
-        F.when(F.col("is_unknown"), measured).otherwise(size).alias("size"),
+        size.alias("size"),
         F.when(failed, "bytes not readable").alias("error"),
     )
     return df.withColumn("large", large_flag(F.col("size"), F.col("selectable"), large_bytes))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoloom.functions.paths import export_sort_key, normalize_path
 from repoloom.functions.text import is_blank
 from repoloom.operators.ranking import positions, running_totals
+from repoloom.session import pinned
 
 KEYS = ["repo", "branch", "path"]
 
@@ -39,32 +42,16 @@ def sort_tree_items(items: DataFrame) -> DataFrame:
     return positions(kept, ["repo", "branch"], ["path_key", "pos"], "item_pos").drop("path_key")
 
 
-def unique_package_names(wanted: DataFrame, taken: DataFrame, suffix: str = "") -> DataFrame:
-    """Give each wanted name a free one: `x`, `x (2)`, `x (3)` ... skipping taken names.
+NUMBERED = r"(?s)\A(.*) \(([1-9][0-9]{0,17})\)\z"
 
-    `wanted(name, pos)` asks in order of `pos`; `taken(name)` exists already. `suffix` is
-    an extension kept at the end, such as `.zip`. Names compare ignoring case. The free
-    numbers of a base name are those missing among the taken ones: the n-th request gets
-    the n-th number that is not taken, found from the sorted taken numbers. A name given
-    to one request does not count as taken for requests of another base name.
-    """
-    size = len(suffix)
-    stem = F.expr(f"left(name, length(name) - {size})") if suffix else F.col("name")
-    requests = positions(
-        wanted.withColumn("stem", stem).withColumn("stem_key", F.upper("stem")), ["stem_key"], ["pos"], "nth"
-    )
-    # A taken name blocks number 1 of its own stem, and number k of the stem before ` (k)`.
-    own = taken.select(F.upper(stem).alias("stem_key"), F.lit(1).cast("bigint").alias("k"))
-    numbered = taken.withColumn("stem", stem).select(
-        F.upper(F.regexp_extract("stem", r"(?s)\A(.*) \(([1-9][0-9]{0,17})\)\z", 1)).alias("stem_key"),
-        F.expr(r"try_cast(regexp_extract(stem, r'(?s)\A(.*) \(([1-9][0-9]{0,17})\)\z', 2) AS bigint)").alias("k"),
-    )
-    blocked = own.unionByName(numbered.filter("k >= 2")).distinct()
+
+def _next_free(requests: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Add `number` and `free_stem`: the n-th request of a stem gets its n-th number that is not blocked."""
     # k is the i-th blocked number of its stem: k - i free numbers lie below it.
     marks = positions(blocked, ["stem_key"], ["k"], "i").withColumn("free_below", F.col("k") - F.col("i"))
     # The n-th request gets n plus the count of blocked numbers with free_below < n.
     steps = (
-        requests.select("stem_key", F.col("nth").alias("at"), F.lit(1).alias("is_request"), "name", "stem", "pos")
+        requests.withColumns({"at": F.col("nth"), "is_request": F.lit(1)})
         .unionByName(
             marks.select("stem_key", (F.col("free_below") + 1).alias("at"), F.lit(0).alias("is_request")),
             allowMissingColumns=True,
@@ -74,4 +61,56 @@ def unique_package_names(wanted: DataFrame, taken: DataFrame, suffix: str = "")
     counted = running_totals(steps, ["stem_key"], ["at", "is_request", "tie"], {"skipped": 1 - F.col("is_request")})
     number = F.col("at") + F.col("skipped")
     named = F.when(number == 1, F.col("stem")).otherwise(F.concat("stem", F.lit(" ("), number.cast("string"), F.lit(")")))
-    return counted.filter("is_request = 1").select("name", "pos", F.concat(named, F.lit(suffix)).alias("free_name"))
+    return counted.filter("is_request = 1").select(
+        "name", "stem", "stem_key", "root", "pos", "nth", number.alias("number"), named.alias("free_stem")
+    )
+
+
+def unique_package_names(wanted: DataFrame, taken: DataFrame, suffix: str = "") -> DataFrame:
+    """Give each wanted name a free one: `x`, `x (2)`, `x (3)` ... skipping taken names.
+
+    `wanted(name, pos)` asks in order of `pos`, which no two requests share; `taken(name)`
+    exists already, and a name once given counts as taken for all later requests. `suffix`
+    is an extension kept at the end, such as `.zip`. Names compare ignoring case.
+
+    Requests of one stem are numbered at once. Two stems can meet in one name only (`x`
+    with number 2 and `x (2)` with number 1); then the later request's stem loses that
+    number and the names that differ by numbers alone are dealt again, until none clash.
+    A round settles every clash that no earlier clash of those names can move.
+    """
+    size = len(suffix)
+    stem = F.expr(f"left(name, length(name) - {size})") if suffix else F.col("name")
+    asked = wanted.withColumn("stem", stem).withColumns(
+        {"stem_key": F.upper("stem"), "root": F.upper(F.regexp_replace("stem", r"(?: \([1-9][0-9]{0,17}\))+\z", ""))}
+    )
+    requests = positions(asked, ["stem_key"], ["pos"], "nth")
+    # A taken name blocks number 1 of its own stem, and number k of the stem before ` (k)`.
+    own = taken.select(F.upper(stem).alias("stem_key"), F.lit(1).cast("bigint").alias("k"))
+    numbered = taken.withColumn("stem", stem).select(
+        F.upper(F.regexp_extract("stem", NUMBERED, 1)).alias("stem_key"),
+        F.expr(f"try_cast(regexp_extract(stem, r'{NUMBERED}', 2) AS bigint)").alias("k"),
+    )
+    blocked = own.unionByName(numbered.filter("k >= 2")).distinct()
+    settled = []
+    while True:
+        dealt = pinned(_next_free(requests, blocked))
+        by_pos = F.struct("pos", "stem_key")
+        clash = (
+            dealt.groupBy("root", F.upper("free_stem").alias("free_key"))
+            .agg(
+                F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("second"),
+                F.max_by("stem_key", by_pos).alias("stem_key"), F.max_by("number", by_pos).alias("k"),
+            )
+            .filter("n > 1")
+        )
+        clash = pinned(clash)
+        if clash.isEmpty():
+            settled.append(dealt)
+            break
+        roots = clash.groupBy("root").agg(F.min("second").alias("bad"))
+        lost = clash.join(roots, "root").filter("first <= bad").select("stem_key", "k")
+        settled.append(dealt.join(roots, "root", "left_anti"))
+        requests = dealt.join(roots, "root", "left_semi").drop("number", "free_stem")
+        blocked = pinned(blocked.unionByName(lost).distinct())
+    named = reduce(DataFrame.unionByName, settled)
+    return named.select("name", "pos", F.concat("free_stem", F.lit(suffix)).alias("free_name"))

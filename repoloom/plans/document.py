@@ -19,7 +19,7 @@ from repoloom.functions.charset import charset_unsupported, decode_text, looks_b
 from repoloom.functions.paths import asset_link, asset_path, branch_url, export_sort_key, file_name, normalize_path
 from repoloom.functions.rowscan import fenced, int_div
 from repoloom.functions.text import is_blank, md_anchor, md_code_block, md_escape, package_name
-from repoloom.operators.classify import inventory, with_classes, with_kind
+from repoloom.operators.classify import file_size, inventory, with_classes, with_kind
 from repoloom.operators.outline import with_outline, with_segments
 from repoloom.operators.ranking import running_totals
 from repoloom.operators.selection import select_files
@@ -54,6 +54,22 @@ def file_units(files: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
+def distinct_files(files: DataFrame) -> DataFrame:
+    """Each normalised path of a branch once: its first row by `pos`, where given, then by content.
+
+    Repeated paths are found from the narrow key columns and stored, so that their measured
+    size decides whether they are broadcast; content moves for repeated paths only.
+    """
+    df = files.filter(~is_blank(F.col("path"))).withColumn("path", normalize_path(F.col("path")))
+    repeated = pinned(df.groupBy(*KEYS).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    if repeated.isEmpty():
+        return df
+    order = F.struct(*[c for c in ("pos", "content") if c in df.columns])
+    rest = [c for c in df.columns if c not in KEYS]
+    first = df.join(repeated, KEYS, "left_semi").groupBy(*KEYS).agg(F.min_by(F.struct(*rest), order).alias("row"))
+    return df.join(repeated, KEYS, "left_anti").unionByName(first.select(*KEYS, "row.*"))
+
+
 def file_anchor() -> Column:
     return md_anchor(F.concat(F.lit("file-"), F.col("path")))
 
@@ -93,9 +109,21 @@ def rendered(units: DataFrame) -> DataFrame:
     return df.select(*KEYS, export_sort_key(F.col("path")).alias("sort_key"), "toc", "section")
 
 
-def doc_headers(branches: DataFrame, projects: DataFrame, stamp: datetime.datetime, style: str = "flat") -> DataFrame:
-    """File name and header text of each document."""
-    df = branches.select("repo", "branch").join(projects.select("repo", "name", "web_url"), "repo")
+def doc_headers(
+    branches: DataFrame, projects: DataFrame, stamp: datetime.datetime, style: str = "flat", strict: bool = False
+) -> DataFrame:
+    """File name and header text of each document.
+
+    A repository without a project row, or with one that has no name, keeps its document
+    under its own id, with `error` set; with `strict` it fails the job.
+    """
+    df = branches.select("repo", "branch").join(projects.select("repo", "name", "web_url"), "repo", "left")
+    error = F.concat(F.lit("no project named for "), F.col("repo"))
+    # Raised where the name is needed: an error column that nobody reads is pruned.
+    name = F.when(F.col("name").isNull(), F.raise_error(error) if strict else F.col("repo")).otherwise(F.col("name"))
+    df = df.withColumn("error", F.when(F.col("name").isNull(), error)).withColumns(
+        {"name": name, "web_url": F.coalesce("web_url", F.lit(""))}
+    )
     now = F.lit(stamp.replace(tzinfo=None)).cast("timestamp_ntz")
     df = df.withColumn("file_name", package_name(now, F.col("name"), F.col("branch")))
     header = F.concat(
@@ -105,7 +133,7 @@ def doc_headers(branches: DataFrame, projects: DataFrame, stamp: datetime.dateti
         F.lit(")\n\n## "), md_escape(F.col("file_name")),
         F.lit(f"\n\n{TREE_HEADING}\n\n~~~text\n"),
     )
-    return df.select("repo", "branch", "file_name", header.alias("header"))
+    return df.select("repo", "branch", "file_name", header.alias("header"), "error")
 
 
 def document_blocks(files: DataFrame, listing: DataFrame, headers: DataFrame) -> DataFrame:
@@ -194,24 +222,30 @@ def merge_corpus(
     selection: DataFrame | None = None,
     style: str = "flat",
     strict: bool = False,
+    large_bytes: int = lk.LARGE_FILE_BYTES,
 ) -> dict[str, DataFrame]:
     """The whole job: units, rendered files, headers, tree listing, blocks and assets.
 
-    Without a selection the files are filtered in place; with one, the chosen paths are
-    joined back to the files.
+    Every path counts once (`distinct_files`). Without a selection the files are filtered
+    in place; with one, the chosen paths are stored and joined back to the files. Files of
+    `large_bytes` or more are left out unless a selection names them; `inventory` marks
+    them as large.
     """
-    inv = inventory(files)
+    files = distinct_files(files)
+    inv = inventory(files, large_bytes)
+    branches = ["repo", "branch"]
     if selection is None:
-        chosen = _with_inventory_filter(files)
+        chosen = _with_inventory_filter(files, large_bytes)
+        # Documents are wanted for every listed branch and every branch with files; with a
+        # selection, for what was selected from. Either is known without reading content.
+        wanted = tree_items.select(*branches).unionByName(files.select(*branches))
     else:
-        picked = select_files(inv, selection).select(*KEYS)
-        chosen = files.join(picked, KEYS, "left_semi")
+        # Stored, so that a small selection is broadcast by its measured size.
+        chosen = files.join(pinned(select_files(inv, selection).select(*KEYS)), KEYS, "left_semi")
+        wanted = selection.select(*branches)
     units = file_units(chosen, strict)
     sections = rendered(units)
-    # Documents are wanted for what was selected from, or else for every listed branch;
-    # either is known without reading content.
-    wanted = tree_items if selection is None else selection
-    headers = doc_headers(wanted.select("repo", "branch").distinct(), projects, stamp, style)
+    headers = doc_headers(wanted.distinct(), projects, stamp, style, strict)
     listing = tree_listing(tree_items, projects)
     return {
         "inventory": inv,
@@ -224,10 +258,11 @@ def merge_corpus(
     }
 
 
-def _with_inventory_filter(files: DataFrame) -> DataFrame:
+def _with_inventory_filter(files: DataFrame, large_bytes: int) -> DataFrame:
     """Files that the default selection takes, found row by row without a join."""
-    size = F.length("content")
-    df = with_classes(files.filter(~is_blank(F.col("path"))))
+    df = with_classes(files)
     selectable = F.when(F.col("is_unknown"), ~looks_binary(F.col("content"))).otherwise(F.col("by_name_selectable"))
-    # A name that is also a known binary would be rejected later; keep it visible there.
-    return df.filter(selectable & (size < lk.LARGE_FILE_BYTES)).select(*files.columns)
+    # Names that are also known binaries and files without bytes would be rejected later;
+    # keep them visible there.
+    small = F.coalesce(file_size(files.columns) < large_bytes, F.lit(True))
+    return df.filter(selectable & small).select(*files.columns)

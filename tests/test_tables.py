@@ -3,6 +3,7 @@
 import datetime
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from repoloom.operators import ordering, outline, ranking, selection, tree
@@ -65,6 +66,50 @@ def test_unique_names(spark):
     assert zipped["free_name"] == "y (2).zip"
 
 
+def test_unique_names_against_one_by_one(spark):
+    """Names given earlier block later requests of every base name."""
+    import random
+
+    rng = random.Random(5)
+    names = ["x", "x (2)", "X (3)", "x (2) (2)", "x (2) (3)", "y", "y (4)", "x (1)", "z"]
+    asked = [(rng.choice(names), pos) for pos in range(60)] + [("q", 60), ("q", 61), ("q (2)", 62), ("q (3)", 63)]
+    taken = ["x (4)", "y (2)"]
+    used, expected = {t.upper() for t in taken}, {}
+    for name, pos in asked:
+        n, free = 1, name
+        while free.upper() in used:
+            n += 1
+            free = f"{name} ({n})"
+        used.add(free.upper())
+        expected[pos] = free
+    wanted = spark.createDataFrame(asked, "name string, pos long")
+    got = ordering.unique_package_names(wanted, spark.createDataFrame([(t,) for t in taken], "name string")).collect()
+    assert {r["pos"]: r["free_name"] for r in got} == expected
+
+
+def test_repeated_paths_missing_bytes_and_projects(spark):
+    """Repeated paths count once; files without bytes keep a reason; a repository needs no project row."""
+    files = spark.createDataFrame(
+        [("r", "m", 2, "a\\b.md", b"two"), ("r", "m", 1, "a/b.md", b"one"), ("r", "m", 3, "a/b.md", b"one"), ("r", "m", 4, "n.txt", None), ("r", "m", 5, "c.txt", b"12345678")],
+        "repo string, branch string, pos long, path string, content binary",
+    )
+    items = spark.createDataFrame([], "repo string, branch string, pos long, path string, type string")
+    projects = spark.createDataFrame([("other", "P", "u")], "repo string, name string, web_url string")
+    stamp = datetime.datetime(2024, 5, 6, 7, 8, 9)
+    made = doc.merge_corpus(files, items, projects, stamp, large_bytes=8)
+    units = {r["path"]: (bytes(r["content"] or b""), r["reason"]) for r in made["units"].collect()}
+    assert units == {"a/b.md": (b"one", None), "n.txt": (b"", "file without readable bytes")}
+    assert {r["path"]: r["large"] for r in made["inventory"].collect()} == {"a/b.md": False, "n.txt": False, "c.txt": True}
+    assert [r["error"] for r in made["headers"].collect()] == ["no project named for r"]
+    text = doc.merged_document(made["blocks"]).first()["text"]
+    assert text.startswith("# r\n") and text.count("### a/b.md") == 1 and "two" not in text
+    picked = spark.createDataFrame([("r", "m", "", False)], "repo string, branch string, prefix string, explicit boolean")
+    chosen = doc.merge_corpus(files, items, projects, stamp, picked, large_bytes=8)["units"]
+    assert {r["path"]: r["reason"] for r in chosen.collect()} == {p: v[1] for p, v in units.items()}
+    with pytest.raises(Exception, match="no project named for r"):
+        doc.merge_corpus(files, items, projects, stamp, strict=True)["headers"].select("header").collect()
+
+
 def test_overlapping_spans(spark):
     rows = [("a", 0, 50), ("a", 10, 20), ("A", 15, 30), ("b", 10, 20), ("c", 16, 18)]
     df = spark.createDataFrame([("r", "m", "p", i, *s) for i, s in enumerate(rows)], "repo string, branch string, path string, emit_pos int, name string, start int, end int")

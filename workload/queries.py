@@ -787,14 +787,12 @@ def code_corpus(spark, sf):
 
 
 def mixed_corpus(spark, sf):
-    """One repository per document source, each path once."""
+    """One repository per document source; some paths repeat."""
     files = repo_bytes(spark, sf)
-    first = files.groupBy("repo", "branch", "path").agg(F.min("pos").alias("pos"))
-    files = files.join(first, ["repo", "branch", "path", "pos"], "left_semi")
     items = files.select("repo", "branch", "pos", "path", F.lit("blob").alias("type"))
     projects = files.select("repo").distinct().select("repo", F.concat(F.lit("My_"), "repo").alias("name"), F.concat(F.lit("https://git.example.org/"), "repo").alias("web_url"))
     # Files named .env.zip are known text and known binary: they are rejected, not exported.
-    return doc.merge_corpus(files.select("repo", "branch", "path", "content"), items, projects, STAMP)
+    return doc.merge_corpus(files.select("repo", "branch", "pos", "path", "content"), items, projects, STAMP)
 
 
 @query

@@ -120,29 +120,30 @@ def suffix_array(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, word
 
 
-def common_prefixes(order: np.ndarray, word: np.ndarray, most: int, lanes: int = 4096) -> np.ndarray:
+def common_prefixes(order: np.ndarray, word: np.ndarray, most: int, lanes: int = 1 << 15) -> np.ndarray:
     """Bytes that each suffix shares with the one before it in the order, up to `most`."""
     n = len(order)
-    where = np.empty(n, np.int64)
+    where, before = np.empty(n, np.int64), np.empty(n, np.int64)
     where[order] = np.arange(n)
+    before[order[1:]] = order[:-1]
+    before[order[0]] = -1
     out = np.zeros(n, np.int64)
     steps = -(-n // lanes)
     base, h = np.arange(min(lanes, n)) * steps, np.zeros(min(lanes, n), np.int64)
     for step in range(steps):
         i = base + step
         inside = i < n
-        r = where[np.minimum(i, n - 1)]
-        j = order[np.maximum(r - 1, 0)]
-        go = np.flatnonzero(inside & (r > 0))
-        h[~inside | (r == 0)] = 0
+        j = before[np.minimum(i, n - 1)]
+        go = np.flatnonzero(inside & (j >= 0))
+        h[~inside | (j < 0)] = 0
         while len(go):
             x = word[np.minimum(i[go] + h[go], n)] ^ word[np.minimum(j[go] + h[go], n)]
-            same = np.full(len(go), 0, np.int64)
-            for bits in range(8, 65, 8):
-                same += x < _U(1 << (64 - bits)) if bits < 64 else x == 0
+            # equal leading bytes by the exponent of x as a double; clearing the bit below the top one keeps it from rounding up
+            x &= ~(x >> _U(1))
+            same = np.minimum((63 + 1023 - (x.astype(np.float64).view(np.int64) >> 52)) >> 3, 8)
             h[go] += same
             go = go[(same == 8) & (h[go] < most)]
-        out[r[inside]] = np.minimum(h[inside], most)
+        out[where[i[inside]]] = np.minimum(h[inside], most)
         h = np.maximum(h - 1, 0)  # the next place shares all but one byte of it (Kasai)
     return out
 
@@ -265,12 +266,15 @@ def _merge(min_bytes: int):
             if len(ok) > 1:
                 mine = rolling[ok] ^ mark[ok]
                 mine ^= mine >> _U(31)
-                ordered = np.sort(mine)
-                hit[o, ok] = np.searchsorted(ordered, mine, "right") - np.searchsorted(ordered, mine) > 1
-        out = []
-        for i in np.flatnonzero(hit.any(0)):
-            out += [(ids[i], ths[i], a, z) for a, z in runs(np.flatnonzero(hit[:, i]) - off[i] + lows[i], min_bytes)]
-        cols = list(zip(*out)) if out else [()] * 4
+                by = np.argsort(mine)
+                ordered = mine[by]  # searched in its own order, which stays in the cache
+                many = np.searchsorted(ordered, ordered, "right") - np.searchsorted(ordered, ordered) > 1
+                hit[o, ok[by[many]]] = True
+        # the windows of a context all hold its anchor, so they make one run
+        i = np.flatnonzero(hit.any(0))
+        low = lows[i] - off[i]
+        first, last = hit[:, i].argmax(0), left - hit[::-1, i].argmax(0)
+        cols = [ids[i], ths[i], low + first, low + last + min_bytes]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["_id", "_th", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from repoloom.functions.rowscan import let
-from repoloom.operators.lexing import LUA_PART, LUA_WORDS, end_by_scan
+from repoloom.operators.lexing import LUA_PART, LUA_WORDS, end_by_scan, rust_body_by_scan
 
 DEPTH = 30
 WINDOW = 3000
@@ -96,14 +96,14 @@ def _no_end(dialect: str, prefix: str = "") -> str:
     return rf"(?s)\A{prefix}(?:\{{(?:{_gap(dialect, lenient=True)}|{_braces(dialect)})*+)++\z"
 
 
-def _js_patterns() -> tuple[str, str]:
-    """Signature, then a block, or an arrow and a block or an expression up to `;`."""
+def _js_patterns() -> tuple[str, str, str]:
+    """Signature, then a block, or an arrow and a block or an expression up to `;`; last, up to where the body opens."""
     block, skip = _braces("js"), skips("js")
     before = r"""[^/"'`{=]++|/(?![/*])|=(?!>)|""" + skip
     after_arrow = rf"=>(?:(?U:\s)++|{skip}|=>)*+"
     expression = r"""(?!\{)(?:[^/"'`;]++|/(?![/*])|%s)*+;""" % skip
     found = rf"(?s)\A(?:{before})*+(?:{block}|{after_arrow}(?:{block}|{expression}))"
-    return found, _no_end("js", rf"(?:{before})*+(?:{after_arrow})?+")
+    return found, _no_end("js", rf"(?:{before})*+(?:{after_arrow})?+"), rf"(?s)\A(?:{before})*+(?:\{{|{after_arrow}.)"
 
 
 def _rust_header() -> str:
@@ -147,9 +147,11 @@ def _python_header() -> str:
 
 
 BLOCK = {d: (rf"(?s)\A{_braces(d)}", _no_end(d)) for d in ("csharp", "php")}
-BLOCK["js"] = _js_patterns()
+*_js_block, JS_BODY = _js_patterns()
+BLOCK["js"] = tuple(_js_block)
 BLOCK["rust"] = (rf"(?s)\A{_rust_header()}{_braces('rust')}", _no_end("rust", _rust_header()))
 BLOCK["lua"] = _lua_patterns()
+RUST_BODY = rf"(?s)\A{_rust_header()}\{{"
 RUST_NO_BODY = rf"(?s)\A{_rust_header()};"
 PYTHON_HEADER = _python_header()
 
@@ -186,6 +188,29 @@ def block_end(text: Column, s: Column, dialect: str) -> Column:
     return matched(own, rest)
 
 
+def body_start(text: Column, s: Column, dialect: str) -> Column:
+    """Where the body of signature `s` opens (C#, PHP, JavaScript, Rust); -1 when it has none.
+
+    JavaScript: the first brace, or what follows the arrow. Rust: the first brace outside of
+    brackets. The text up to the next signature is tried first, then all that follows.
+    """
+    at = s["brace"]
+    if dialect not in ("js", "rust"):
+        return at
+
+    def opened(piece: Column, otherwise: Column) -> Column:
+        pattern = JS_BODY if dialect == "js" else RUST_BODY
+        return let(
+            F.length(F.regexp_extract(piece, pattern, 0)),
+            lambda n: F.when(n > 0, at + n - 1).otherwise(otherwise),
+        )
+
+    if dialect == "js":
+        return opened(s["piece"], let(_tail(text, at), lambda tail: opened(tail, F.lit(-1))))
+    rest = let(_tail(text, at), lambda tail: opened(tail, rust_body_by_scan(tail, at)))
+    return opened(s["piece"], F.when(s["piece"].rlike(RUST_NO_BODY), F.lit(-1)).otherwise(rest))
+
+
 def _python_end(text: Column, s: Column) -> Column:
     """The block runs up to the first line that is not blank and not indented deeper than `def`."""
 

@@ -353,3 +353,24 @@ def end_by_scan(text: Column, k: Column, dialect: str) -> Column:
         F.lit(-1),
         lambda acc, f: F.when((f["k"] == 0) & (f["e"] >= 0), f["e"] + k).otherwise(acc),
     )
+
+
+def rust_body_by_scan(tail: Column, k: Column) -> Column:
+    """Where the body of the signature at k opens, from the text after it; -1 = none.
+
+    `at` is -2 until a brace or a semicolon stands outside of all brackets.
+    """
+
+    def step(acc: Column, token: Column) -> Column:
+        mark, off = F.right(token, F.lit(1)), acc["off"] + F.length(token)
+
+        def level(name: str, opener: str, closer: str) -> Column:
+            by = F.when(mark == opener, 1).when(mark == closer, -1).otherwise(0)
+            return F.greatest(acc[name] + by, F.lit(0)).alias(name)
+
+        flat = (acc["a"] == 0) & (acc["b"] == 0) & (acc["c"] == 0)
+        at = F.when((acc["at"] > -2) | ~flat, acc["at"]).when(mark == "{", k + off - 1).when(mark == ";", F.lit(-1)).otherwise(F.lit(-2))
+        return F.struct(off.alias("off"), level("a", "(", ")"), level("b", "[", "]"), level("c", "<", ">"), at.alias("at"))
+
+    start = F.struct(*[F.lit(0).alias(n) for n in ("off", "a", "b", "c")], F.lit(-2).alias("at"))
+    return F.aggregate(tokens(tail, "rust"), start, step, lambda acc: F.greatest(acc["at"], F.lit(-1)))

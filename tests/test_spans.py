@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repoloom.operators import signatures as sg
-from repoloom.operators.blocks import block_end
+from repoloom.operators.blocks import block_end, body_start
 from repoloom.operators.lexing import end_by_scan
 from repoloom.plans import functions as fn
 from workload import queries as q
@@ -138,3 +138,25 @@ def test_one_pass_without_shuffle(spark, sf):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "Sort" not in plan
     assert plan.count("FileScan parquet") == 1
+
+
+BODIES = [
+    ("javascript", "function f({a}) { return a; }", [11]),
+    ("javascript", "const f = x => /* } */ { y; }\n;", [23]),
+    ("javascript", "const f = x => x\n", [15]),
+    ("javascript", "function f(a) // {\n", [-1]),
+    ("javascript", "function f(a, /*\nfunction g(b) {\n*/ c) {}", [39, 31]),
+    ("rust", "fn f(a: [u8; 2]) -> Vec<{1}> { }", [29]),
+    ("rust", "fn f();\nfn g() {}", [-1, 15]),
+    ("rust", "fn f(a: ((((((((u8;)))))))), '{') /* { */ {}", [42]),
+    ("php", "<?php\nfunction f($a) { }", [21]),
+]
+
+
+@pytest.mark.parametrize("language, text, expected", BODIES)
+def test_body_start(spark, language, text, expected):
+    units = spark.createDataFrame([("r", "b", "p", language, text)], "repo string, branch string, path string, language string, text string")
+    dialect = {"javascript": "js"}.get(language, language)
+    df = fn.signatures(units).select("lex_text", F.explode("sigs").alias("s"))
+    rows = df.select(F.col("s.idx"), body_start(F.col("lex_text"), F.col("s"), dialect).alias("at")).orderBy("idx").collect()
+    assert [r["at"] for r in rows] == expected

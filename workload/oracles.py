@@ -364,11 +364,14 @@ for _id, _d in {"lex_csharp": 0, "lex_js": 1, "lex_php": 5, "lex_rust": 6, "lex_
 ORACLES["brace_depth"] = f"WITH {SRC}, {TOKS} SELECT path, CAST(off AS BIGINT) AS off, t AS token, CAST(depth AS BIGINT) AS depth FROM dep JOIN src USING (k)"
 ORACLES["match_brace"] = f"WITH {SRC}, {TOKS} SELECT path, CAST(off AS BIGINT) AS open_off, CAST(close_off AS BIGINT) AS close_off FROM pair JOIN src USING (k)"
 for _id, _cond in {
-    "js_body": "g.rule IN ('js_function', 'js_method')", "js_statement_end": "g.rule = 'js_arrow'", "rust_body": "g.d = 6",
-    "py_block_end": "g.d = 3", "open_brace_of_signature": "g.d = 5",
+    "js_statement_end": "g.rule = 'js_arrow'", "py_block_end": "g.d = 3",
 }.items():
     ORACLES[_id] = f"""WITH {LEXED} SELECT path, name, CAST(g.idx AS BIGINT) AS idx, CAST(coalesce(e.e, -1) AS BIGINT) AS end_pos FROM sig g JOIN src USING (k)
  LEFT JOIN ends e ON e.k = g.k AND e.rule = g.rule AND e.idx = g.idx WHERE {_cond}"""
+BODY = f"""WITH {LEXED} SELECT path, name, CAST(g.idx AS BIGINT) AS idx, CAST(coalesce(o.body, -1) AS BIGINT) AS body_pos FROM sig g JOIN src USING (k)
+ LEFT JOIN opens o ON o.k = g.k AND o.rule = g.rule AND o.idx = g.idx"""
+ORACLES["js_body"], ORACLES["rust_body"] = f"{BODY} WHERE g.d = 1", f"{BODY} WHERE g.d = 6"
+ORACLES["open_brace_of_signature"] = f"{BODY} WHERE g.d IN (1, 5, 6) AND substr(content, CAST(o.body AS INT) + 1, 1) = '{{'"
 ORACLES["py_signature_end"] = f"""WITH {LEXED} SELECT path, name, CAST(g.idx AS BIGINT) AS idx, CAST(l.s + length(l.line) + 1 AS BIGINT) AS body_pos
  FROM sig g JOIN src USING (k) JOIN pycolon c ON c.k = g.k AND c.idx = g.idx JOIN ln l ON l.k = g.k AND l.n = c.n WHERE g.d = 3"""
 ORACLES["fn_spans"] = f"WITH RECURSIVE {FUNCS} SELECT path, emit_pos, name, s AS start_pos, e AS end_pos FROM sp"

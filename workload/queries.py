@@ -16,7 +16,7 @@ from repoloom.functions import text as ft
 from repoloom.functions.rowscan import fenced
 from repoloom.operators import classify, ordering, outline, selection, tokens, tree
 from repoloom.operators import signatures as sg
-from repoloom.operators.blocks import block_end
+from repoloom.operators.blocks import block_end, body_start
 from repoloom.plans import document as doc
 from repoloom.plans import functions as fn
 from repoloom.session import ensure_checkpoint_dir
@@ -652,11 +652,35 @@ def body_query(dialect, *rules):
     return run
 
 
-QUERIES["js_body"] = body_query("js", "js_function", "js_method")
 QUERIES["js_statement_end"] = body_query("js", "js_arrow")
-QUERIES["rust_body"] = body_query("rust", "rust")
 QUERIES["py_block_end"] = body_query("python", "python")
-QUERIES["open_brace_of_signature"] = body_query("php", "php")
+
+
+def body_starts(spark, sf, dialect, *rules):
+    """Where the body of each signature opens, -1 when it has none."""
+    df = code_sigs(spark, sf, *rules)
+    df = fenced(df, body_pos=body_start(F.col("text"), F.struct("name", "idx", "brace", "piece"), dialect))
+    return df.select("path", "name", long("idx"), long("body_pos"), F.substring("text", F.col("body_pos") + 1, F.lit(1)).alias("opener"))
+
+
+JS_RULES = ("js_function", "js_arrow", "js_method")
+
+
+@query
+def js_body(spark, sf):
+    return body_starts(spark, sf, "js", *JS_RULES).drop("opener")
+
+
+@query
+def rust_body(spark, sf):
+    return body_starts(spark, sf, "rust", "rust").drop("opener")
+
+
+@query
+def open_brace_of_signature(spark, sf):
+    """Signatures of three dialects whose body opens with a brace."""
+    found = [body_starts(spark, sf, d, *r) for d, r in {"js": JS_RULES, "php": ["php"], "rust": ["rust"]}.items()]
+    return found[0].union(found[1]).union(found[2]).filter("body_pos >= 0 and opener = '{'").drop("opener")
 
 
 @query

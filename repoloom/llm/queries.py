@@ -6,6 +6,7 @@ from repoloom.llm.decontamination import op6_decontamination
 from repoloom.llm.embedding_dedup import op5_embedding_near_dedup
 from repoloom.llm.licenses import OP2_SQL, op2_license_scan
 from repoloom.llm.packing import op9_packing
+from repoloom.llm.periodic_runs import op13_periodic_runs
 from repoloom.llm.replies import OP7_SQL, op7_chat_format
 from repoloom.llm.simhash import op10_simhash_near_dedup
 from repoloom.llm.suffix_dedup import op8_suffix_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {

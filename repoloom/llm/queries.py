@@ -5,6 +5,7 @@ from __future__ import annotations
 from repoloom.llm.decontamination import op6_decontamination
 from repoloom.llm.embedding_dedup import op5_embedding_near_dedup
 from repoloom.llm.licenses import OP2_SQL, op2_license_scan
+from repoloom.llm.line_quality import op12_line_quality
 from repoloom.llm.packing import op9_packing
 from repoloom.llm.periodic_runs import op13_periodic_runs
 from repoloom.llm.replies import OP7_SQL, op7_chat_format
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_line_quality": op12_line_quality,
     "op13_periodic_runs": op13_periodic_runs,
 }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from repoloom.llm.decontamination import op6_decontamination
 from repoloom.llm.embedding_dedup import op5_embedding_near_dedup
+from repoloom.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from repoloom.llm.licenses import OP2_SQL, op2_license_scan
 from repoloom.llm.line_quality import op12_line_quality
 from repoloom.llm.packing import op9_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_line_quality": op12_line_quality,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -33,4 +35,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_license_scan": OP2_SQL,
     "op7_chat_format": OP7_SQL,
+    "op11_hard_negatives": OP11_SQL,
 }

@@ -290,7 +290,7 @@ def test_queries_with_sql(spark, sf):
     from repoloom.llm.queries import ORACLES, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in ORACLES.items():
         want = con.sql(sql)

@@ -121,8 +121,8 @@ def charset_unsupported(content: Column, path: Column) -> Column:
     return name.isNotNull() & charset_alias(name).isNull()
 
 
-def decode_declared(content: Column, path: Column) -> Column:
-    decoder = charset_alias(declared_charset(content, path))
+def decode_as(decoder: Column, content: Column) -> Column:
+    """Text by one of the decoders of `charset_alias`; malformed bytes become U+FFFD, null stays null."""
     return (
         F.when(decoder == "utf-8", utf8_lenient(content))
         .when(decoder == "utf-16le", utf16le(content))
@@ -135,6 +135,10 @@ def decode_declared(content: Column, path: Column) -> Column:
     )
 
 
+def decode_declared(content: Column, path: Column) -> Column:
+    return decode_as(charset_alias(declared_charset(content, path)), content)
+
+
 def strip_bom(text: Column) -> Column:
     return F.ltrim(text, F.lit("\ufeff"))
 

@@ -2,8 +2,9 @@
 
 Balanced brackets are written as possessive patterns unrolled to a fixed depth, so
 that matching is one linear pass without backtracking, in the JVM's own regex
-engine. A pattern is tried on the text up to the next signature, then on a window, then
-on all the text that follows; what it cannot decide goes to the exact scan in `lexing`.
+engine. A pattern is tried on the text up to the next signature, then on a window. What
+that leaves open in a file is answered together by one pass over it (`closers`), and
+the rest on all the text that follows: by the pattern, then by the exact scan in `lexing`.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from repoloom.functions.rowscan import let
+from repoloom.operators import closers
 from repoloom.operators.lexing import LUA_PART, LUA_WORDS, end_by_scan, rust_body_by_scan
 
 DEPTH = 30
@@ -160,32 +162,97 @@ def _tail(text: Column, at: Column) -> Column:
     return F.substring(text, at + 1, F.length(text))
 
 
+UNDECIDED = -3
+
+
+def _matched(piece: Column, s: Column, dialect: str, otherwise: Column) -> Column:
+    n = F.length(F.regexp_extract(piece, BLOCK[dialect][0], 0))
+    return let(n, lambda n: F.when(n > 0, s["brace"] + n).otherwise(otherwise))
+
+
+def near_end(text: Column, s: Column, dialect: str, otherwise: Column) -> Column:
+    """End of the function if its own text, or a window from its block on, decides it."""
+    own = _tail(s["piece"], s["brace"] - s["idx"])
+    # Functions around others: a window usually holds them. It ends with a line, which no
+    # word and no quoted character crosses.
+    window = F.regexp_extract(F.substring(text, s["brace"] + 1, F.lit(WINDOW)), r"(?s)\A.*\n", 0)
+    rest = F.when(F.length(s["piece"]) < WINDOW, _matched(window, s, dialect, otherwise)).otherwise(otherwise)
+    if dialect == "rust":
+        rest = F.when(own.rlike(RUST_NO_BODY), F.lit(-1)).otherwise(rest)
+    if dialect == "js":  # no window for an expression that goes on: without semicolons that is every one
+        rest = F.when(own.rlike(FAR_PATTERNS["js"]["expression"]), otherwise).otherwise(rest)
+    return _matched(own, s, dialect, rest)
+
+
+def far_end(text: Column, s: Column, dialect: str) -> Column:
+    """End of the function from all the text that follows."""
+    scanned = end_by_scan(text, s["brace"], dialect)
+    return let(
+        _tail(text, s["brace"]),
+        lambda tail: _matched(tail, s, dialect, F.when(tail.rlike(BLOCK[dialect][1]), F.lit(-1)).otherwise(scanned)),
+    )
+
+
 def block_end(text: Column, s: Column, dialect: str) -> Column:
     """End (exclusive) of the function with signature `s`; -1 when it has none."""
     if dialect == "python":
         return _python_end(text, s)
-    found, open_ended = BLOCK[dialect]
-    at = s["brace"]
+    return near_end(text, s, dialect, far_end(text, s, dialect))
 
-    def matched(piece: Column, otherwise: Column) -> Column:
-        return let(
-            F.length(F.regexp_extract(piece, found, 0)), lambda n: F.when(n > 0, at + n).otherwise(otherwise)
-        )
 
-    def on_tail(tail: Column) -> Column:
-        return matched(
-            tail, F.when(tail.rlike(open_ended), F.lit(-1)).otherwise(end_by_scan(text, at, dialect))
-        )
+RULES = {
+    "csharp": ("csharp_method", "csharp_type"),
+    "js": ("js_function", "js_arrow", "js_method"),
+    "php": ("php",),
+    "rust": ("rust",),
+    "lua": ("lua_named", "lua_assigned"),
+}
 
-    own = _tail(s["piece"], at - s["idx"])
-    rest = let(_tail(text, at), on_tail)
-    # Functions around others: a window usually holds them. It ends with a line, which no
-    # word and no quoted character crosses.
-    window = F.regexp_extract(F.substring(text, at + 1, F.lit(WINDOW)), r"(?s)\A.*\n", 0)
-    rest = F.when(F.length(s["piece"]) < WINDOW, matched(window, rest)).otherwise(rest)
+
+def _closed(dialect: str) -> str:
+    """A text that ends outside strings and comments. A backslash before its last line feed may
+    belong to a character literal that goes on."""
+    if dialect == "lua":
+        word = rf"[\p{{L}}_]{LUA_PART}*+"
+        return rf"""(?s)\A(?:[^\p{{L}}_\-\["']++|-(?!-)|\[(?!\[)|{word}|{skips("lua")})*+\z"""
+    return rf"(?s)\A(?!.*\\\n\z)(?:{_gap(dialect)}|[{{}}])*+\z"
+
+
+def _far_patterns(dialect: str) -> dict[str, str]:
+    found = {"closed": _closed(dialect), "opening": "", "expression": ""}
+    if dialect == "js":
+        skip = skips("js")
+        before = r"""[^/"'`{=]++|/(?![/*])|=(?!>)|""" + skip
+        after_arrow = rf"=>(?:(?U:\s)++|{skip}|=>)*+"
+        found["opening"] = rf"(?s)\A(?:{before})*+(?:{after_arrow})?+(?=\{{)"
+        found["expression"] = rf"""(?s)\A(?:{before})*+{after_arrow}(?!\{{)(?:[^/"'`;]++|/(?![/*])|{skip})*+\z"""
     if dialect == "rust":
-        rest = F.when(own.rlike(RUST_NO_BODY), F.lit(-1)).otherwise(rest)
-    return matched(own, rest)
+        found["opening"] = rf"(?s)\A{_rust_header()}(?=\{{)"
+    return found
+
+
+FAR_PATTERNS = {d: _far_patterns(d) for d in RULES}
+
+
+def block_ends(text: Column, sigs: Column, dialect: str) -> Column:
+    """`block_end` of every signature of a file, in time that follows the text."""
+    if dialect == "python":
+        return F.transform(sigs, lambda s: _python_end(text, s))
+
+    def completed(near: Column) -> Column:
+        want = F.transform(near, lambda e: e == UNDECIDED)
+        far = closers.ends(text, sigs, want, dialect, RULES[dialect], FAR_PATTERNS[dialect])
+
+        def chosen(found: Column) -> Column:
+            def one(s: Column, i: Column) -> Column:
+                e, f = F.get(near, i), F.get(found, i)
+                return F.when(e != UNDECIDED, e).when(f != closers.UNKNOWN, f).otherwise(far_end(text, s, dialect))
+
+            return F.transform(sigs, one)
+
+        return F.when(F.exists(near, lambda e: e == UNDECIDED), let(far, chosen)).otherwise(near)
+
+    return let(F.transform(sigs, lambda s: near_end(text, s, dialect, F.lit(UNDECIDED))), completed)
 
 
 def body_start(text: Column, s: Column, dialect: str) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from repoloom.functions.paths import WHITE_SPACE
-from repoloom.functions.rowscan import scan
+from repoloom.functions.rowscan import int_div, let, scan
 from repoloom.operators.signatures import END, MARK
 
 STOP = r"\x01\x02"
@@ -29,27 +29,27 @@ def quoted(q: str) -> str:
 
 
 def nested_block(depth: int) -> str:
-    """Block comments that nest, unrolled to `depth` levels."""
+    """Block comments that nest, unrolled to `depth` levels; each may stay open."""
     inner = ""
     for _ in range(depth):
         inner = rf"/\*(?:[^*/\x02]++|\*(?!/)|/(?!\*){'|' + inner if inner else ''})*+(?:\*/)?+"
     return inner
 
 
+# Levels of nested comments that a pattern decides; deeper ones are counted (`shallow`).
+PATTERN_LEVELS = 8
 # What each dialect skips, and the characters or words that count.
-RUST_COMMENT_DEPTH = 32
 CSHARP_SKIP = "|".join([LINE_SLASH, BLOCK, r'@"(?:[^"\x02]++|"")*+"?+', quoted('"'), quoted("'")])
 JS_SKIP = "|".join([LINE_SLASH, BLOCK, quoted('"'), quoted("'"), quoted("`")])
 PHP_SKIP = "|".join([LINE_SLASH, r"#[^\n\x02]*+", BLOCK, r"\\[\\\"']", quoted('"'), quoted("'")])
-RUST_SKIP = "|".join(
-    [
-        LINE_SLASH,
-        nested_block(RUST_COMMENT_DEPTH),
-        r'r(#*+)"(?:[^"\x02]++|"(?!\1))*+(?:"\1)?+',
-        quoted('"'),
-        r"'(?![\p{L}_])(?:[^'\\\r\n\x02]++|\\[^\x02])*+'",
-    ]
-)
+RUST_PARTS = [
+    LINE_SLASH,
+    nested_block(PATTERN_LEVELS),
+    r'r(#*+)"(?:[^"\x02]++|"(?!\1))*+(?:"\1)?+',
+    quoted('"'),
+    r"'(?![\p{L}_])(?:[^'\\\r\n\x02]++|\\[^\x02])*+'",
+]
+RUST_SKIP = "|".join(RUST_PARTS)
 LUA_WORDS = "function|if|for|while|repeat|until|end"
 LUA_PART = r"[\p{L}\p{Nd}_]"
 LUA_SKIP = "|".join(
@@ -76,8 +76,51 @@ OPEN = "struct<k:int,d:int>"
 FOUND = "struct<k:int,e:int>"
 
 
+# A Rust text up to a comment that no closed pattern of `PATTERN_LEVELS` levels matches.
+_CLOSED_COMMENT = nested_block(PATTERN_LEVELS).replace(r"(?:\*/)?+", r"\*/")
+_OTHER_SKIPS = "|".join(k for k in RUST_PARTS if k != nested_block(PATTERN_LEVELS))
+_TO_DEEP_COMMENT = rf"""(?s)\A(?:[^/r"']++|{_CLOSED_COMMENT}|{_OTHER_SKIPS}|/(?!\*)|[r'])*+(?=/\*)"""
+
+
+def comment_end(tail: Column) -> Column:
+    """Length of the nested comment that `tail` starts with, by counting openers and closers; to the end if it stays open."""
+    marks = F.regexp_extract_all(tail, F.lit(r"(?s)(?:[^*/]++|\*(?!/)|/(?!\*))*+(?:/\*|\*/)"), 0)
+
+    def step(acc: Column, mark: Column) -> Column:
+        off, depth = acc["off"] + F.length(mark), acc["depth"] + F.when(F.endswith(mark, F.lit("/*")), 1).otherwise(-1)
+        ended = F.when((acc["end"] == 0) & (depth == 0), off).otherwise(acc["end"])
+        return F.struct(off.alias("off"), depth.alias("depth"), ended.alias("end"))
+
+    start = F.struct(*[F.lit(0).alias(n) for n in ("off", "depth", "end")])
+    return F.aggregate(marks, start, step, lambda acc: F.when(acc["end"] > 0, acc["end"]).otherwise(F.length(tail)))
+
+
+def shallow(text: Column) -> Column:
+    """A Rust text of the same length whose comments deeper than `PATTERN_LEVELS` are blanks.
+
+    Each has more than so many openers, which bounds the rounds; texts with fewer openers pass as they are."""
+    openers = F.regexp_count(text, F.lit(r"/\*"))
+
+    def blanked(t: Column) -> Column:
+        def at(off: Column) -> Column:
+            tail = F.substring(t, off + 1, F.length(t))
+            rest = let(tail, lambda x: let(comment_end(x), lambda n: F.concat(F.repeat(F.lit(" "), n), F.substring(x, n + 1, F.length(x)))))
+            return F.concat(F.substring(t, F.lit(1), off), rest)
+
+        return let(F.length(F.regexp_extract(t, _TO_DEEP_COMMENT, 0)), at)
+
+    def step(acc: Column, _: Column) -> Column:
+        more = ~acc["done"] & acc["t"].rlike(_TO_DEEP_COMMENT)
+        return F.struct(F.when(more, blanked(acc["t"])).otherwise(acc["t"]).alias("t"), (~more).alias("done"))
+
+    rounds = F.sequence(F.lit(0), int_div(openers, PATTERN_LEVELS))
+    start = F.struct(text.alias("t"), F.lit(False).alias("done"))
+    return F.when(openers > PATTERN_LEVELS, F.aggregate(rounds, start, step, lambda acc: acc["t"])).otherwise(text)
+
+
 def tokens(marked: Column, dialect: str) -> Column:
-    return F.regexp_extract_all(F.concat(marked, F.lit(END)), F.lit(TOKENS[dialect]), 0)
+    text = let(marked, shallow) if dialect == "rust" else marked
+    return F.regexp_extract_all(F.concat(text, F.lit(END)), F.lit(TOKENS[dialect]), 0)
 
 
 def _waiting(k: Column, a: Column | int = 0, b: Column | int = 0, c: Column | int = 0) -> Column:

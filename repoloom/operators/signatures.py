@@ -66,6 +66,7 @@ JAVA_KEYWORDS = "if for while switch catch return new throw do".split()
 
 # A match with the text up to the next one and the last characters above it.
 ABOVE = 1000
+FIELDS = ("rule", "name", "idx", "brace", "piece", "above")
 SIGNATURE = "struct<rule:string,name:string,idx:int,brace:int,piece:string,above:string>"
 
 
@@ -128,7 +129,20 @@ BRACE["php"] = _first_brace
 
 
 def without_names(found: Column, names: list[str], ignore_case: bool) -> Column:
-    return F.filter(found, lambda m: ~(F.lower(m["name"]) if ignore_case else m["name"]).isin(*names))
+    """Matches of other names; what follows a dropped match belongs to the piece of the one before."""
+
+    def kept(at: Column) -> Column:
+        def joined(k: Column, i: Column) -> Column:
+            m, following = F.get(found, k), F.coalesce(F.get(at, i + 1), F.size(found))
+            piece = F.when(following == k + 1, m["piece"]).otherwise(
+                F.array_join(F.transform(F.slice(found, k + 1, following - k), lambda d: d["piece"]), "")
+            )
+            return F.struct(*[(piece if n == "piece" else m[n]).alias(n) for n in FIELDS])
+
+        return F.transform(at, joined)
+
+    keep = F.transform(found, lambda m, i: F.when(~(F.lower(m["name"]) if ignore_case else m["name"]).isin(*names), i))
+    return let(F.filter(keep, lambda i: i.isNotNull()), kept)
 
 
 def by_position(found: Column) -> Column:
@@ -140,7 +154,7 @@ def by_position(found: Column) -> Column:
 
 
 def csharp_methods(text: Column) -> Column:
-    return without_names(matches(text, "csharp_method"), CSHARP_KEYWORDS, ignore_case=True)
+    return let(matches(text, "csharp_method"), lambda found: without_names(found, CSHARP_KEYWORDS, ignore_case=True))
 
 
 def csharp_types(text: Column) -> Column:
@@ -159,7 +173,7 @@ def csharp_types(text: Column) -> Column:
 
 def js_candidates(text: Column) -> Column:
     """The three JavaScript forms together, before duplicates are dropped."""
-    methods = without_names(matches(text, "js_method"), JS_KEYWORDS, ignore_case=True)
+    methods = let(matches(text, "js_method"), lambda found: without_names(found, JS_KEYWORDS, ignore_case=True))
     return by_position(F.concat(matches(text, "js_function"), matches(text, "js_arrow"), methods))
 
 

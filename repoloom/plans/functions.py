@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from repoloom.functions.rowscan import fenced, let, scan
 from repoloom.operators import signatures as sig
-from repoloom.operators.blocks import block_end
+from repoloom.operators.blocks import block_ends
 from repoloom.operators.trivia import leading_start
 
 # Language tag to dialect; other languages have no functions.
@@ -91,18 +91,21 @@ def signatures(units: DataFrame) -> DataFrame:
 
 def _lexed_spans(dialect: str) -> Column:
     """Signatures with start and end; those without a body are dropped."""
-    text = F.col("lex_text")
-    spans = F.transform(
-        F.col("sigs"),
-        lambda s: F.struct(
-            s["rule"].alias("rule"),
-            s["name"].alias("name"),
-            leading_start(text, s, dialect).alias("start"),
-            block_end(text, s, dialect).alias("end"),
-            s["brace"].alias("body"),
-        ),
-    )
-    return F.filter(spans, lambda s: (s["end"] >= 0) & (s["end"] > s["start"]))
+    text, sigs = F.col("lex_text"), F.col("sigs")
+
+    def spans(ends: Column) -> Column:
+        return F.transform(
+            sigs,
+            lambda s, i: F.struct(
+                s["rule"].alias("rule"),
+                s["name"].alias("name"),
+                leading_start(text, s, dialect).alias("start"),
+                F.get(ends, i).alias("end"),
+                s["brace"].alias("body"),
+            ),
+        )
+
+    return F.filter(let(block_ends(text, sigs, dialect), spans), lambda s: (s["end"] >= 0) & (s["end"] > s["start"]))
 
 
 def is_type(span: Column) -> Column:

@@ -9,20 +9,28 @@ from pyspark.sql import functions as F
 LAYOUT = r"([^/]+)/([^/]+)/(.+)"
 
 
-def read_checkouts(spark: SparkSession, root: str, layout: str = LAYOUT) -> DataFrame:
-    """Files `(repo, branch, path, content, size)` below `root`.
+def read_checkouts(spark: SparkSession, root: str, layout: str = LAYOUT, strict: bool = False) -> DataFrame:
+    """Files `(repo, branch, path, content, size, error)` below `root`.
 
     `layout` is a pattern with three groups for repository, branch and path, matched
-    against the part of the address below `root`. Size needs no content, so a plan that
-    does not use `content` never reads the bytes.
+    against the part of the address below `root`. A file elsewhere has neither repository nor branch, its address
+    below `root` as path, and an error; with `strict` it fails the job. Size needs no content, so a plan that
+    does not use `content` never reads the bytes. Spark lists the folders, in a job of its own where they are many.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     home = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/"))
     address = F.ltrim(F.regexp_replace("path", r"\A[a-z0-9]+:", ""), F.lit("/"))
     below = F.substring(address, F.length(home) + 2, F.length(address))
     pattern = rf"(?s)\A{layout}\z"
+    inside = below.rlike(pattern)
+    repo, branch, path = (F.when(inside, F.regexp_extract(below, pattern, n)) for n in (1, 2, 3))
+    message = F.concat(F.lit("file outside of the layout: "), below)
+    error = F.when(~inside, F.raise_error(message) if strict else F.lit("outside of the layout"))
     return raw.select(
-        *[F.regexp_extract(below, pattern, n).alias(c) for n, c in enumerate(("repo", "branch", "path"), 1)],
+        repo.alias("repo"),
+        branch.alias("branch"),
+        F.coalesce(path, below).alias("path"),
         "content",
         F.col("length").alias("size"),
+        error.alias("error"),
     )

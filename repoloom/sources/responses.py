@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoloom.functions.charset import CHARSET_ALIASES, latin1, strip_bom, utf8_lenient, utf16be, utf16le
+from repoloom.functions.charset import charset_alias, decode_as, strip_bom, utf8_lenient
 from repoloom.functions.text import is_blank
 
 # Input order of listing items: page number above, position in the page below.
@@ -123,14 +123,7 @@ def branches(pages: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def file_text(content: Column, charset: Column | None = None) -> Column:
-    """Raw file bytes as text: UTF-8, or the charset the response declared."""
+    """Raw file bytes as text: UTF-8, or the charset the response declared where there is a decoder for it."""
     if charset is None:
         return utf8_lenient(content)
-    pairs = [F.lit(x) for kv in CHARSET_ALIASES.items() for x in kv]
-    decoder = F.try_element_at(F.create_map(*pairs), F.lower(charset))
-    return strip_bom(
-        F.when(decoder == "utf-16le", utf16le(content))
-        .when(decoder == "utf-16be", utf16be(content))
-        .when(decoder == "latin-1", latin1(content))
-        .otherwise(utf8_lenient(content))
-    )
+    return strip_bom(F.coalesce(decode_as(charset_alias(F.lower(charset)), content), utf8_lenient(content)))

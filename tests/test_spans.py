@@ -160,3 +160,63 @@ def test_body_start(spark, language, text, expected):
     df = fn.signatures(units).select("lex_text", F.explode("sigs").alias("s"))
     rows = df.select(F.col("s.idx"), body_start(F.col("lex_text"), F.col("s"), dialect).alias("at")).orderBy("idx").collect()
     assert [r["at"] for r in rows] == expected
+
+
+@pytest.mark.parametrize("levels", [5, 9, 33, 1000])
+def test_comments_nest_without_limit(spark, levels):
+    deep = "/* \" { " * levels + " } ' " + "*/ " * levels
+    text = f"fn f(a: u8 {deep}) {{ {deep} let s = \"/*\"; }}\n{deep}\nfn g() {{ x(); }}\nfn h() {{ /* {deep}"
+    body = text.index("{ " + deep)
+    assert spans(spark, "rust", text)[0][1] == text[: text.index("}\n") + 1]
+    assert [n for n, _ in spans(spark, "rust", text)] == ["f", "g"]
+    units = spark.createDataFrame([("r", "b", "p", "rust", text)], "repo string, branch string, path string, language string, text string")
+    df = fn.signatures(units).select("lex_text", F.explode("sigs").alias("s"))
+    starts = df.select("s.idx", body_start(F.col("lex_text"), F.col("s"), "rust").alias("at")).orderBy("idx").collect()
+    assert [r["at"] for r in starts] == [body, text.index("{ x()"), text.rindex("h() {") + 4]
+    from repoloom.operators.tokens import code_tokens
+
+    braces = [r["off"] for r in code_tokens(units).filter("token in ('{', '}')").orderBy("off").collect()]
+    assert braces == [body, text.index("}\n"), text.index("{ x()"), text.index("; }\nfn h") + 2, text.rindex("h() {") + 4]
+
+
+@pytest.mark.parametrize("dialect", sorted(set(FRAGMENTS) - {"python"}))
+def test_one_pass_equals_scan(spark, dialect, monkeypatch):
+    """What the pass from the last signature to the first tells is what the scan of each signature finds."""
+    from repoloom.operators import blocks, closers
+
+    rnd = random.Random(11)
+    balanced = {"lua": ["if a then end\n", "for i = 1, 2 do end\n", "end\n"]}.get(dialect, ["{ x; }\n", "}\n", "{\n", "y\n"])
+    kinds = [FRAGMENTS[dialect] + ["\n"] * 8, FRAGMENTS[dialect][:3] + balanced * 3 + ["\n"] * 6]
+    texts = ["\n".join("".join(rnd.choices(kinds[i % 2], k=rnd.randint(3, 14))) for _ in range(6)) for i in range(300)]
+    language = {v: k for k, v in fn.DIALECTS.items() if k != "typescript"}[dialect]
+    units = spark.createDataFrame(
+        [("r", "b", str(i), language, t) for i, t in enumerate(texts)],
+        "repo string, branch string, path string, language string, text string",
+    )
+    text, sigs = F.col("lex_text"), F.col("sigs")
+    all_asked = F.transform(sigs, lambda s: F.lit(True))
+    told = closers.ends(text, sigs, all_asked, dialect, blocks.RULES[dialect], blocks.FAR_PATTERNS[dialect])
+    df = fn.signatures(units)
+    df = df.select("path", "lex_text", "sigs", told.alias("told"), blocks.block_ends(text, sigs, dialect).alias("ends"))
+    df = df.select("path", "lex_text", F.expr("inline(arrays_zip(sigs, told, ends))"))
+    got = df.select("path", "lex_text", "sigs.idx", "told", "ends", end_by_scan(text, F.col("sigs.brace"), dialect).alias("exact")).collect()
+    assert [r for r in got if r["told"] != closers.UNKNOWN and r["told"] != r["exact"]] == []
+    assert [r for r in got if r["ends"] != r["exact"]] == []
+    assert sum(r["told"] != closers.UNKNOWN for r in got) > len(got) / 4
+
+
+def test_time_follows_the_text(spark):
+    """Arrows without semicolons, and functions around others: four times the text, not sixteen times the time."""
+    import time
+
+    def seconds(n):
+        text = "".join(f"const f{i} = (x) => x * 2\n" for i in range(n)) + "".join(f"function g{i}() {{\n" for i in range(n // 40)) + "}\n" * (n // 40)
+        units = spark.createDataFrame([("r", "b", "p", "javascript", text)], "repo string, branch string, path string, language string, text string")
+        df = fn.function_spans(units)
+        df._jdf.queryExecution().executedPlan()
+        start = time.perf_counter()
+        assert df.count() == n // 40  # no arrow has an end
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(12_000) < 8 * max(seconds(3000), 0.5)

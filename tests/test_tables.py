@@ -2,6 +2,7 @@
 
 import datetime
 import os
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,10 +226,16 @@ def test_document(spark, tmp_path):
     lines = [r["text"] for r in doc.document_lines(made["blocks"]).orderBy("line_no").collect()]
     assert "\n".join(lines) + "\n" == expected
     out = str(tmp_path / "md")
-    writers.write_markdown(made["blocks"], out)
-    folder = os.path.join(out, "repo=r", "branch=m%2F1")
-    stored = "".join(open(os.path.join(folder, n), encoding="utf-8").read() for n in sorted(os.listdir(folder)) if n.startswith("part-"))
+    written = writers.write_markdown(made["blocks"], made["headers"], out).collect()
+    name = made["headers"].first()["file_name"]
+    assert {(r["repo"], r["branch"], r["file_name"]) for r in written} == {("r", "m/1", name)}
+    parts = [r["part"] for r in sorted(written, key=lambda r: r["part_no"])]
+    stored = "".join(open(unquote(p.removeprefix("file:")), encoding="utf-8").read() for p in parts)
     assert stored == expected
+    back = writers.read_markdown(spark, out).orderBy("line_no").collect()
+    assert "".join(r["text"] + "\n" for r in back) == expected and [r["line_no"] for r in back] == list(range(1, len(back) + 1))
+    with pytest.raises(ValueError, match="already"):
+        writers.write_markdown(made["blocks"], made["headers"], out)
     assert {r["asset_path"] for r in made["assets"].collect()} == {"assets/doc.pdf", "assets/img/x 1.png"}
 
 
@@ -248,8 +255,41 @@ def test_checkouts(spark, tmp_path):
         target = tmp_path / "co" / repo / "main" / path
         target.parent.mkdir(parents=True)
         target.write_bytes(data)
+    (tmp_path / "co" / "stray.txt").write_bytes(b"z")
     rows = checkouts.read_checkouts(spark, str(tmp_path / "co")).orderBy("repo").collect()
-    assert [(r["repo"], r["branch"], r["path"], bytes(r["content"]), r["size"]) for r in rows] == [
-        ("r1", "main", "a/b.txt", b"xy", 2),
-        ("r2", "main", "c.bin", b"\x00", 1),
+    assert [(r["repo"], r["branch"], r["path"], bytes(r["content"]), r["size"], r["error"]) for r in rows] == [
+        (None, None, "stray.txt", b"z", 1, "outside of the layout"),
+        ("r1", "main", "a/b.txt", b"xy", 2, None),
+        ("r2", "main", "c.bin", b"\x00", 1, None),
     ]
+    with pytest.raises(Exception, match="stray.txt"):
+        checkouts.read_checkouts(spark, str(tmp_path / "co"), strict=True).select("error").collect()
+
+
+def test_documents_of_one_name_and_a_broken_attempt(spark, tmp_path):
+    blocks = [(repo, branch, 0, str(k).zfill(4), "", f"{repo} {branch} line {k}\n\n") for repo, branch in (("007", "a"), ("7", "a"), ("x/y", "b=1")) for k in range(300)]
+    blocks = spark.createDataFrame(blocks, "repo string, branch string, part int, key string, path string, text string")
+    headers = spark.createDataFrame([("007", "a", "Same.md"), ("7", "a", "same.md"), ("x/y", "b=1", "other.md")], "repo string, branch string, file_name string")
+    out = str(tmp_path / "md")
+    (tmp_path / "md" / "parts-0" / "repo=7" / "branch=a").mkdir(parents=True)
+    (tmp_path / "md" / "parts-0" / "repo=7" / "branch=a" / "part-00000-left.txt").write_text("left over\n")
+    assert not writers.is_committed(spark, out)
+    with pytest.raises(ValueError, match="no complete"):
+        writers.read_markdown(spark, out)
+    taken = spark.createDataFrame([("Other",)], "name string")
+    names = writers.write_markdown(blocks, headers, out, taken).select("repo", "package", "file_name").distinct().collect()
+    assert {tuple(r) for r in names} == {("007", "Same", "Same.md"), ("7", "same (2)", "same (2).md"), ("x/y", "other (2)", "other (2).md")}
+    lines = {}
+    for r in writers.read_markdown(spark, out).orderBy("repo", "line_no").collect():
+        lines.setdefault((r["repo"], r["branch"]), []).append(r["text"])
+    assert lines == {(repo, b): [t for k in range(300) for t in (f"{repo} {b} line {k}", "")] for repo, b in (("007", "a"), ("7", "a"), ("x/y", "b=1"))}
+
+
+def test_response_charsets(spark):
+    from repoloom.sources.responses import file_text
+
+    rows = [("cp1252", b"\x80\xe9", "\u20ac\xe9"), ("Latin1", b"\xe9", "\xe9"), ("iso-8859-15", b"\xa4", "\u20ac"), ("US-ASCII", b"a\xe9", "a\ufffd")]
+    rows += [("utf-32", b"a\0\0\0", "a"), ("utf-16be", b"\0a", "a"), ("unicode", b"a\0", "a"), ("utf8", b"\xff", "\ufffd"), ("none", b"\xc3\xa9", "\xe9"), (None, b"\xc3\xa9", "\xe9"), ("cp1252", None, None)]
+    df = spark.createDataFrame(rows, "charset string, content binary, want string")
+    got = df.select("charset", "want", file_text(F.col("content"), F.col("charset")).alias("got")).collect()
+    assert [r for r in got if r["got"] != r["want"]] == []

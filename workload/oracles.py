@@ -104,8 +104,10 @@ ORACLES["drop_blank"] = f"SELECT conv_id, turn FROM conversations WHERE turn % 2
 
 # ---------------------------------------------------------------- sources
 
-ORACLES["src_files_checkout"] = """SELECT source AS repo, lang AS branch, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes,
- sum(octet_length(encode(text)) + 1)::BIGINT AS content_bytes FROM documents GROUP BY 1, 2"""
+ORACLES["src_files_checkout"] = """SELECT repo, branch, folder, error, line, count(*) AS n, 0::BIGINT AS unread FROM (
+ SELECT CASE WHEN i THEN source ELSE '-' END AS repo, CASE WHEN i THEN lang ELSE '-' END AS branch, CASE WHEN i THEN '' ELSE 'elsewhere/source=' || source END AS folder,
+  CASE WHEN i THEN '-' ELSE 'outside of the layout' END AS error, unnest(string_split(text, chr(10))) AS line
+ FROM (SELECT *, doc_id % 50 <> 0 AS i FROM documents)) GROUP BY ALL"""
 FLAT = f"""SELECT source AS repo, doc_id * {STEP} + nth AS pos, CASE nth WHEN 0 THEN lang || '/' || doc_id ELSE lang END AS path,
  CASE WHEN doc_id % 5 = 2 THEN '' WHEN nth = 0 THEN 'blob' ELSE 'tree' END AS type, false AS failed
  FROM documents, range(2) r(nth) WHERE doc_id % 5 = 0 OR (doc_id % 5 IN (1, 2) AND nth = 0)"""
@@ -120,7 +122,12 @@ UNION ALL SELECT source, doc_id * {STEP}, '-', '-', CASE doc_id % 5 WHEN 1 THEN
  FROM documents WHERE doc_id % 5 IN (1, 2)"""
 ORACLES["src_content_json"] = """SELECT doc_id, CASE WHEN doc_id % 6 < 4 THEN text ELSE '-' END AS text,
  CASE doc_id % 6 WHEN 4 THEN 'path is not a file' WHEN 5 THEN 'response has no content' ELSE '-' END AS error FROM documents"""
-ORACLES["src_text_utf8"] = "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN text || chr(65533) ELSE text END AS text FROM documents"
+ORACLES["src_text_utf8"] = """WITH b AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 1 THEN text || chr(65533) ELSE text END AS broken,
+  regexp_replace(text, '[^\\x00-\\x7f]', '?', 'g') AS plain FROM documents)
+SELECT doc_id, '-' AS charset, broken AS text FROM b UNION ALL
+SELECT doc_id, ['utf-8', 'ISO-8859-15', 'windows-1252', 'us-ascii', 'utf-16le', 'utf-16be', 'x-unknown'][doc_id % 7 + 1] AS charset,
+ CASE doc_id % 7 WHEN 1 THEN plain || chr(8364) || chr(339) WHEN 2 THEN plain || chr(8364) || chr(339) WHEN 3 THEN plain || chr(65533)
+  WHEN 4 THEN text WHEN 5 THEN text ELSE broken END AS text FROM b"""
 ORACLES["src_size_json"] = """SELECT doc_id, CASE WHEN doc_id % 10 = 4 OR doc_id % 5 = 0 THEN n_chars WHEN doc_id % 5 = 4 THEN 1 ELSE -1 END AS size FROM documents"""
 ORACLES["src_project_json"] = """SELECT CAST(p_partkey AS VARCHAR) AS repo,
  CASE WHEN p_partkey % 4 < 2 THEN p_name ELSE '-' END AS name,
@@ -491,6 +498,7 @@ MIXED_SECTION = f"""'<a name="' || {FILE_ANCHOR} || '"></a>' || {NL} || '### ' |
 MIXED_TOC = f"'- [' || {escape('path')} || '](#' || {FILE_ANCHOR} || ')' || {NL}"
 MIXED_DOC = document(LISTING.format(nodes=f"{MIXED}, {NODES}", head="'My_' || repo"), "('My_' || repo)", MIXED_TOC, MIXED_SECTION, "exported")
 ORACLES["merged_document"] = f"WITH RECURSIVE {MIXED_DOC} SELECT repo, 0::BIGINT AS piece, text FROM docs"
-ORACLES["sink_markdown"] = f"""WITH RECURSIVE {MIXED_DOC} SELECT repo, 'main' AS branch, length(text) - length(replace(text, {NL}, '')) AS lines,
- length(replace(text, {NL}, '')) AS chars FROM docs"""
+ORACLES["sink_markdown"] = f"""WITH RECURSIVE {MIXED_DOC}, cut AS (SELECT repo, string_split(left(text, length(text) - 1), {NL}) AS lines FROM docs)
+SELECT repo, 'main' AS branch, '240506 070809 My_' || repo || ' [main]' AS package, '240506 070809 My_' || repo || ' [main].md' AS file_name,
+ unnest(range(1, len(lines) + 1)) AS line_no, unnest(lines) AS text FROM cut"""
 ORACLES["sink_assets"] = f"""WITH {MIXED} SELECT repo, path, 'assets/' || path AS asset_path, octet_length(encode(content)) AS bytes FROM exported WHERE is_image OR is_pdf"""

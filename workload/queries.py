@@ -16,7 +16,7 @@ from repoloom.functions import text as ft
 from repoloom.functions.rowscan import fenced
 from repoloom.operators import classify, ordering, outline, selection, tokens, tree
 from repoloom.operators import signatures as sg
-from repoloom.operators.blocks import block_end, body_start
+from repoloom.operators.blocks import block_ends, body_start
 from repoloom.plans import document as doc
 from repoloom.plans import functions as fn
 from repoloom.session import ensure_checkpoint_dir
@@ -103,14 +103,21 @@ def sig_csharp_type(spark, sf):
 
 @query
 def src_files_checkout(spark, sf):
-    """Store documents as files, read them back as checkouts, measure them."""
+    """Store documents as files, some outside of the layout, and read them back as checkouts: their lines and errors."""
     docs = views.table(spark, sf, "documents")
     home = f"{ensure_checkpoint_dir(spark)}/checkouts-{uuid.uuid4().hex}"
-    docs.select("source", "lang", "text").write.partitionBy("source", "lang").text(home)
-    files = checkouts.read_checkouts(spark, home, r"source=([^/]+)/lang=([^/]+)/(.+)")
-    return files.groupBy("repo", "branch").agg(
-        F.sum("size").alias("bytes"), F.sum(F.length("content")).alias("content_bytes")
-    )
+    inside = F.col("doc_id") % 50 != 0
+    docs.filter(inside).select("source", "lang", "text").write.partitionBy("source", "lang").text(f"{home}/kept")
+    docs.filter(~inside).select("source", "text").write.partitionBy("source").text(f"{home}/kept/elsewhere")
+    files = checkouts.read_checkouts(spark, f"{home}/kept", r"source=([^/]+)/lang=([^/]+)/(part-[^/]+)")
+    folder = F.regexp_replace("path", r"(\A|/)(part-|_)[^/]*\z", "")
+    lines = F.split(cs.utf8_lenient(F.expr("substring(content, 1, length(content) - 1)")), "\n", -1)
+    rows = files.filter(~F.col("path").rlike(r"_SUCCESS\z"))
+    rows = rows.select(
+        F.coalesce("repo", F.lit("-")).alias("repo"), F.coalesce("branch", F.lit("-")).alias("branch"), folder.alias("folder"),
+        F.coalesce("error", F.lit("-")).alias("error"), (F.col("size") - F.length("content")).alias("unread"), F.explode(lines).alias("line"),
+    )
+    return rows.groupBy("repo", "branch", "folder", "error", "line").agg(F.count("*").alias("n"), F.max("unread").alias("unread"))
 
 
 @query
@@ -168,7 +175,19 @@ def src_text_utf8(spark, sf):
     docs = views.table(spark, sf, "documents")
     content = F.encode("text", "UTF-8")
     broken = F.when(F.col("doc_id") % 2 == 1, F.concat(content, F.unhex(F.lit("FF")))).otherwise(content)
-    return docs.select("doc_id", responses.file_text(broken).alias("text"))
+    named = ["utf-8", "ISO-8859-15", "windows-1252", "us-ascii", "utf-16le", "utf-16be", "x-unknown"]
+    plain = F.regexp_replace("text", r"[^\x00-\x7f]", "?")
+    le = F.encode("text", "UTF-16LE")
+    kinds = [
+        broken, F.encode(F.translate(F.concat(plain, F.lit("\u20ac\u0153")), "\u20ac\u0153", "\xa4\xbd"), "ISO-8859-1"), F.encode(F.concat(plain, F.lit("\x80\x9c")), "ISO-8859-1"),
+        F.encode(F.concat(plain, F.lit("\xe9")), "ISO-8859-1"), le, F.encode("text", "UTF-16BE"), broken,
+    ]
+    pick = F.pmod(F.col("doc_id"), F.lit(len(kinds)))
+    content, charset = kinds[0], F.lit(named[0])
+    for k in range(1, len(kinds)):
+        content, charset = F.when(pick == k, kinds[k]).otherwise(content), F.when(pick == k, F.lit(named[k])).otherwise(charset)
+    both = docs.select("doc_id", F.lit("-").alias("charset"), responses.file_text(broken).alias("text"))
+    return both.unionByName(docs.select("doc_id", charset.alias("charset"), responses.file_text(content, charset).alias("text")))
 
 
 @query
@@ -644,10 +663,10 @@ def distinct_candidates(spark, sf):
 
 def body_query(dialect, *rules):
     def run(spark, sf):
-        df = code_sigs(spark, sf, *rules)
-        sig = F.struct("name", "idx", "brace", "piece")
-        df = fenced(df, end_pos=block_end(F.col("text"), sig, dialect))
-        return df.select("path", "name", long("idx"), long("end_pos"))
+        df = fn.signatures(code_units(spark, sf)).filter(F.col("dialect") == dialect)
+        df = fenced(df, ends=block_ends(F.col("lex_text"), F.col("sigs"), dialect))
+        df = df.select("path", F.inline(F.arrays_zip("sigs", "ends"))).filter(F.col("sigs.rule").isin(*rules))
+        return df.select("path", "sigs.name", long("sigs.idx", "idx"), long("ends", "end_pos"))
 
     return run
 
@@ -848,11 +867,11 @@ def merge_corpus(spark, sf):
 
 @query
 def sink_markdown(spark, sf):
-    """Documents written as text, read back: lines and characters per repository."""
+    """Documents written under names of their own and read back by the manifest, line by line."""
     home = f"{ensure_checkpoint_dir(spark)}/markdown-{uuid.uuid4().hex}"
-    writers.write_markdown(mixed_corpus(spark, sf)["blocks"], home)
-    back = spark.read.text(home)
-    return back.groupBy("repo", "branch").agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars"))
+    made = mixed_corpus(spark, sf)
+    writers.write_markdown(made["blocks"], made["headers"], home)
+    return writers.read_markdown(spark, home)
 
 
 @query

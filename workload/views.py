@@ -58,11 +58,15 @@ SELECT page_id AS pos, 'main' AS branch, CASE WHEN page_id % 10 = 9 THEN 'commit
 FROM pages
 """
 
-# Bytes (hex) with 0, 30 or 31 of the first 100 replaced by byte 1, or one by byte 0.
+# Bytes (hex) of whole texts. Of the first n = least(4096, size) bytes the first 0, floor(30 % of n) or ceiling(31 % of n) are
+# replaced by byte 1; or one byte by 0, the last of the sample or, where there is one, the first behind it.
 SNIFF_BYTES = r"""
-SELECT doc_id, left(CASE doc_id % 4 WHEN 0 THEN hx WHEN 1 THEN concat(repeat('01', 30), substring(hx, 61))
- WHEN 2 THEN concat(repeat('01', 31), substring(hx, 63)) ELSE concat('00', substring(hx, 3)) END, 200) AS hx
-FROM (SELECT doc_id, hex(encode(text{charset})) AS hx FROM documents) s
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN hx WHEN 1 THEN concat(repeat('01', n30), substring(hx, 2 * n30 + 1))
+ WHEN 2 THEN concat(repeat('01', n31), substring(hx, 2 * n31 + 1))
+ ELSE concat(substring(hx, 1, 2 * z), '00', substring(hx, 2 * z + 3)) END AS hx
+FROM (SELECT doc_id, hx, cast(floor(n * 30 / 100) AS int) AS n30, cast(ceil(n * 31 / 100) AS int) AS n31,
+  CASE WHEN doc_id % 8 = 3 AND length(hx) > 8192 THEN 4096 WHEN n > 0 THEN n - 1 ELSE 0 END AS z
+ FROM (SELECT doc_id, hx, cast(least(4096, length(hx) / 2) AS int) AS n FROM (SELECT doc_id, hex(encode(text{charset})) AS hx FROM documents) a) b) s
 """
 
 

@@ -1,15 +1,21 @@
 """Token counts kept up to date by signed deltas.
 
 A change says that a document's count under a tokenizer version was inserted, revised or
-deleted. A batch of changes is joined to the ledger (the last state of each document and version),
-becomes signed rows (minus the old count, plus the new one), and these are summed by source,
-language and version into the batch's delta, on the map side first. Totals are sums of deltas.
-
-Commits are idempotent: a batch writes its ledger rows, then its delta, under its own number; a
-batch whose delta is complete is skipped, and one that broke off is written anew from the
-batches before it. Inserting what is there revises it, deleting what isn't there does nothing,
-and of several changes of one document and version in a batch the last (`seq`) counts. Null
-ids, sources and languages are kinds of their own; null token counts are 0.
+deleted. What holds for a document and version is its last change, by batch number and then by `seq`. A batch is
+joined to the ledger (the last change of each document and version so far), becomes signed rows (minus the old count,
+plus the new one), and these are summed by source, language and version into the batch's delta, on the map
+side first. Totals are sums of deltas.
+
+Batches may come in any order: a change of a lower batch than the ledger's is late and moves nothing, so the totals are
+those of counting anew whatever came when. Commits are idempotent: a batch writes its ledger rows, then its delta, under its
+own number; a batch whose delta is complete is skipped, and one that broke off is written anew. One commit runs at a time.
+Only ledger rows of the batch's documents are looked up, and every `COMPACT` batches ledgers and deltas are
+merged into one; a merged set counts once the list of its batches is complete.
+
+Inserting what is there revises it, deleting what isn't there does nothing. Changes of one document, version, batch and
+`seq` go by the greatest (op, source, lang, tokens); null is least, also as `seq`. Other ops than insert, revise and delete are
+left out. Null ids, versions, sources and languages are kinds of their own; null token counts are 0. An empty batch commits an
+empty delta, no batches give no totals. Texts are counted whole, in blocks; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +30,10 @@ from repoloom.llm.common import blocks, stored
 from repoloom.llm.subword import Subwords
 
 KEY = ["doc_id", "version"]
+OPS = ("insert", "revise", "delete")
 STATE = "doc_id long, version string, source string, lang string, tokens long, live boolean, batch long"
+#: Batches that are read one by one before they are merged.
+COMPACT = 8
 DELTA = "source string, lang string, version string, docs long, tokens long"
 
 
@@ -46,11 +55,11 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _at(self, kind: str, batch: int) -> str:
-        return f"{self.path}/{kind}-{batch}"
+    def _at(self, kind: str, number: int) -> str:
+        return f"{self.path}/{kind}-{number}"
 
-    def batches(self) -> list[int]:
-        """Committed batches: those whose delta is complete."""
+    def _complete(self, kind: str) -> list[int]:
+        """Numbers of the tables of a kind that were written to the end."""
         jvm = self.spark._jvm
         home = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = home.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -58,35 +67,70 @@ class Rollup:
             return []
         names = [s.getPath().getName() for s in fs.listStatus(home)]
         done = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
-        return sorted(int(n.split("-")[1]) for n in names if n.startswith("delta-") and done(n))
+        return sorted(int(n.split("-")[1]) for n in names if n.startswith(f"{kind}-") and done(n))
+
+    def batches(self) -> list[int]:
+        """Committed batches: those whose delta is complete."""
+        return self._complete("delta")
+
+    def _merged(self) -> tuple[int | None, set[int]]:
+        """Number of the last merged set, and the batches in it."""
+        sets = self._complete("covers")
+        if not sets:
+            return None, set()
+        return sets[-1], {r[0] for r in self.spark.read.parquet(self._at("covers", sets[-1])).collect()}  # a number a batch
+
+    def _read(self, kind: str, schema: str, batches: list[int]) -> DataFrame:
+        merged, inside = self._merged()
+        paths = [self._at(kind, b) for b in batches if b not in inside]
+        paths += [self._at(f"merged_{kind}", merged)] if merged is not None else []
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    @staticmethod
+    def _last(ledger: DataFrame) -> DataFrame:
+        """The row of the highest batch for each document and version; a batch has one."""
+        return ledger.groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "tokens", "live", "batch"), "batch").alias("old"))
+
+    def compact(self) -> None:
+        """Merge what is committed into one ledger and one delta."""
+        before = self.batches()
+        number = (self._complete("covers") or [-1])[-1] + 1
+        self._last(self._read("ledger", STATE, before)).select(*KEY, "old.*").write.mode("overwrite").parquet(self._at("merged_ledger", number))
+        self._sum(self._read("delta", DELTA, before)).write.mode("overwrite").parquet(self._at("merged_delta", number))
+        self.spark.createDataFrame([(b,) for b in before], "batch long").write.mode("overwrite").parquet(self._at("covers", number))
+
+    @staticmethod
+    def _sum(deltas: DataFrame) -> DataFrame:
+        return deltas.groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Apply changes (seq, op insert|revise|delete, doc_id, version, source, lang, tokens); False if it was before."""
         before = self.batches()
         if batch in before:
             return False
-        new = changes.groupBy(*KEY).agg(F.max_by(F.struct("op", "source", "lang", F.coalesce("tokens", F.lit(0)).alias("tokens")), "seq").alias("new"))
-        paths = [self._at("ledger", b) for b in before]
-        ledger = self.spark.read.schema(STATE).parquet(*paths) if paths else self.spark.createDataFrame([], STATE)
-        old = ledger.groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "tokens", "live"), "batch").alias("old"))
-        both = new.alias("n").join(old.alias("o"), [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in KEY], "left").select("n.doc_id", "n.version", "new", "old")
+        last = F.max(F.struct("seq", "op", "source", "lang", F.coalesce("tokens", F.lit(0)).alias("tokens"))).alias("new")
+        new = stored(changes.filter(F.col("op").isin(*OPS)).groupBy(*KEY).agg(last))  # of a known size, so a small batch is broadcast
+        same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in KEY]
+        ledger = self._read("ledger", STATE, before).alias("o").join(new.select(*KEY).alias("n"), same, "left_semi")
+        both = new.alias("n").join(self._last(ledger).alias("o"), same, "left").select("n.doc_id", "n.version", "new", "old")
         there = F.coalesce("old.live", F.lit(False))
         put = F.col("new.op").isin("insert", "revise")
+        both = both.filter(F.col("old").isNull() | (F.col("old.batch") < batch))  # late changes move nothing
         state = both.select(*KEY, "new.source", "new.lang", "new.tokens", put.alias("live"), F.lit(batch).cast("long").alias("batch"), F.when(there, F.col("old")).alias("old"))
         made = self._at("ledger", batch)
         state.write.mode("overwrite").parquet(made)
         rows = self.spark.read.parquet(made)
         plus = rows.filter("live").select("source", "lang", "version", F.lit(1).alias("docs"), "tokens")
         minus = rows.filter("old is not null").select("old.source", "old.lang", "version", F.lit(-1).alias("docs"), (-F.col("old.tokens")).alias("tokens"))
-        delta = plus.union(minus).groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        delta.write.mode("overwrite").parquet(self._at("delta", batch))
+        self._sum(plus.union(minus)).write.mode("overwrite").parquet(self._at("delta", batch))
+        if len(before) + 1 - len(self._merged()[1]) >= COMPACT:
+            self.compact()
         return True
 
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens) over all commits; groups without documents are left out."""
-        paths = [self._at("delta", b) for b in self.batches()]
-        deltas = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
-        return deltas.groupBy("source", "lang", "version").agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens")).filter("n_docs <> 0")
+        deltas = self._sum(self._read("delta", DELTA, self.batches()))
+        return deltas.withColumnsRenamed({"docs": "n_docs", "tokens": "n_tokens"}).filter("n_docs <> 0")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +153,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rollup.commit(0, changes("insert", {v: count_tokens(docs, p) for v, p in paths.items()}))
     key = docs.select(F.col("doc_id").cast("long"), F.sha2("text", 256).alias("digest")).filter("digest is not null")
-    first = key.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = stored(key.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"))
     copies = stored(key.join(first, "digest").filter("doc_id > first").select("doc_id").distinct())
     gone = copies.select(F.lit(1).alias("seq"), F.lit("delete").alias("op"), "doc_id", versions).select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("tokens", "long"))))
     rollup.commit(1, gone)

@@ -17,7 +17,8 @@ A byte goes if it lies in a string of `min_bytes` bytes (a window) that starts a
 4. The repeated windows of a document become spans, and the document is cut.
 
 Texts are UTF-8 bytes; null is empty. Rows are known by (doc_id, hash of the text), so rows of one
-id are judged apart unless their texts are equal too, and then each repeats the other.
+id are judged apart unless their texts are equal too; then each repeats the other, and one row of them stands for all
+in steps 1 to 3.
 Texts below `min_bytes` keep everything. An empty table gives no rows.
 """
 
@@ -304,7 +305,9 @@ def _merge(min_bytes: int):
 
 
 def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """((_id, _th, spans array<struct<start, stop>>), (_id, _th, text)): repeated bytes, and the documents that may have some."""
+    """((_id, _th, spans array<struct<start, stop>>), (_id, _th, text)): repeated bytes, and the documents that may have some.
+
+    `docs` (_id, _th, text) has each key once."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", 2 << 20):
@@ -322,7 +325,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, hot: int = HOT)
             take = pa.array(t[once])
             yield pa.RecordBatch.from_arrays([b.column("_id").take(take), b.column("_th").take(take), pa.array(h[once]), pa.array(pos[once])], ["_id", "_th", "h", "pos"])
 
-    keyed = docs.select(*text_key(), "text")
+    keyed = docs.select("_id", "_th", "text")
     marks = stored(keyed.filter(F.octet_length("text") >= min_bytes).mapInArrow(mark, "_id long, _th long, h long, pos long"))
     # stored, so that the join reads two plain exchanges and AQE can split an anchor of many documents
     again = stored(marks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
@@ -351,9 +354,20 @@ def _cut(text: bytes, spans: list[dict]) -> tuple[bytes, int]:
     return b"".join([*kept, text[at:]]), n
 
 
+def one_row_each(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((_id, _th, text) with each key once, (_id, _th) of those that several rows share).
+
+    Rows that share a key are reduced on the map side; the others pass without a shuffle where those keys are few."""
+    keyed = docs.select(*text_key(), "text")
+    shared = stored(keyed.groupBy("_id", "_th").count().filter("count > 1").select("_id", "_th"))
+    one = keyed.join(shared, ["_id", "_th"], "left_semi").groupBy("_id", "_th").agg(F.first("text").alias("text"))
+    return keyed.join(shared, ["_id", "_th"], "left_anti").unionByName(one), shared
+
+
 def removed(docs: DataFrame, min_bytes: int = MIN_BYTES, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """(_id, _th, n_removed, n_spans, kept_sha256[, kept binary]) of documents that lose bytes."""
-    spans, likely = repeated_spans(docs, min_bytes, hot)
+    each, shared = one_row_each(docs)
+    spans, likely = repeated_spans(each, min_bytes, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
@@ -364,7 +378,12 @@ def removed(docs: DataFrame, min_bytes: int = MIN_BYTES, hot: int = HOT, with_te
             yield pa.RecordBatch.from_arrays(cols, ["_id", "_th", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     schema = "_id long, _th long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return likely.join(spans, ["_id", "_th"]).mapInArrow(run, schema).dropDuplicates(["_id", "_th"])
+    cut = likely.join(spans.join(shared, ["_id", "_th"], "left_anti"), ["_id", "_th"]).mapInArrow(run, schema)
+    # every string of a text that two rows share starts in the other one too
+    nothing = [F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"").alias("kept")]
+    gone = docs.select(*text_key(), F.octet_length("text").cast("long").alias("n_removed")).filter(F.col("n_removed") >= min_bytes)
+    gone = gone.join(shared, ["_id", "_th"], "left_semi").distinct().select("_id", "_th", "n_removed", *nothing[: 2 + with_text])
+    return cut.unionByName(gone)
 
 
 def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -379,10 +398,11 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_th"), pa.array(texts, pa.string())], ["_id", "_th", "_kept"])
 
     cut = removed(docs, min_bytes, with_text=True).select("_id", "_th", "kept").mapInArrow(decode, "_id long, _th long, _kept string")
-    out = docs.select("*", *text_key()).join(cut, ["_id", "_th"], "left").withColumn("text", F.coalesce("_kept", "text"))
+    rows = docs.select(F.struct("*").alias("_row"), *text_key()).join(cut, ["_id", "_th"], "left")  # columns of docs may have any name
+    kept = {"text": F.coalesce("_kept", "_row.text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.char_length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        kept["n_chars"] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(kept.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

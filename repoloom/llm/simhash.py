@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoloom.llm.common import blocks, stored
+from repoloom.llm.common import blocks, stored, text_key
 from repoloom.llm.components import components, union_roots
 
 SHINGLE, MAX_BITS = 3, 3
@@ -52,15 +52,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(votes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) per document; fp is the print as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, with_hash: bool = False) -> DataFrame:
+    """(doc_id, fp[, _th]) per document; fp is the print as a signed long, _th the hash of the text."""
+    names = ["doc_id", "_th"] if with_hash else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
             fps = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(fps), *(b.column(n) for n in names)], ["fp", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), text_key()[1], "text")
+    return rows.select(*names, "text").mapInArrow(run, "fp long, " + ", ".join(f"{n} long" for n in names))
 
 
 def masks(max_bits: int) -> tuple[list[np.uint64], list[list[np.uint64]]]:
@@ -142,24 +144,34 @@ def print_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return variants.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(max_bits), "u long, v long").distinct()
 
 
+def roots(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, root) for each print of `prints` (fp, once each): the smallest print reachable by links."""
+    comp = components(print_links(prints, max_bits))
+    return prints.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) per row of docs (doc_id, text): the smallest id reachable by links."""
     fps = stored(fingerprints(docs, shingle))
     reps = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    comp = components(print_links(reps.select("fp"), max_bits))
-    named = reps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    named = reps.join(roots(reps.select("fp"), max_bits), "fp")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     return fps.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of `docs` that stand for their group, all columns kept.
+    """One row of `docs` for each group, all columns kept: that of the smallest id (null last), then hash of the text.
 
-    Of rows that repeat an id and a text one stays; rows of one id with different texts
-    are kept or dropped together. A group without any id keeps one row of each text.
+    Rows of one id with different texts are judged apart; of rows that repeat an id and a text one stays.
     """
-    kept = near_duplicates(docs, shingle, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_keep"), docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id", "text"])
+    fps = fingerprints(docs, shingle, with_hash=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("first")
+    reps = stored(fps.groupBy("fp").agg(first))
+    kept = reps.join(roots(reps.select("fp"), max_bits), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    name, text = text_key()
+    kept = kept.select("first.doc_id", "first._th").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "_th")
+    rows = docs.select(F.struct("*").alias("_row"), name, text)  # columns of docs may have any name
+    return rows.join(kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("_row.*")
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,15 +6,19 @@ word starts an item-sized window. An edit spoils one word and two pairs of neigh
 window with fewer than n - k words of any item, or n - 2 - 2k word pairs of items of n words,
 can't be within k edits; it is left out, which loses nothing (a pair that repeats itself at once counts as
 one, if it does so in no item). The CGK random walk
-maps a window to 3n words: step j writes the word under the cursor and moves on or stays by a
-random bit of (j, word), so that windows at small edit distance agree in most coordinates.
-Hashes of `SAMPLE` random coordinates, `TABLES` times for each of `WALKS` walks, find
+maps a window to 2n words: step j writes the word under the cursor and moves on or stays by a coin, a
+hash of (walk, j, word), so that windows at small edit distance agree in most coordinates (what comes after 2n
+steps is rarely reached by differing text). Hashes of `SAMPLE` random coordinates, `TABLES` times for each of `WALKS` walks, find
 candidates; tests measure that they reach 0.95 of the passages at the largest distance. Each
-candidate's edit distance is then computed exactly, with its end free.
+candidate's edit distance is then computed exactly, with its end free, inside the band that its bound leaves.
 
-Items are taken in blocks of `ITEMS`, so what travels to the tasks is bounded. Items of
-fewer than 5 words allow no edit; items and texts that are null or have no words match
-nothing. Items of equal words are found together. Repeated rows are judged each.
+Items are taken in blocks of about `ITEM_BYTES`, so what travels to the tasks is bounded; windows are hashed
+`WINDOW_WORDS` words at a time, so memory follows the longest item and the block, not items times vocabulary.
+
+Items of fewer than 5 words allow no edit; items and texts that are null or have no words match
+nothing. Items of equal words are found together, and of equal places the first counts. Repeated rows are judged each; null ids
+are kept. An empty table of texts or items gives no rows. Only doc_id, item_id and text are read, so columns may
+clash.
 """
 
 from __future__ import annotations
@@ -33,7 +37,9 @@ from repoloom.llm.common import blocks
 
 SIMILARITY = 0.8
 WALKS, TABLES, SAMPLE = 8, 8, 4
-ITEMS = 20_000
+ITEM_BYTES = 8 << 20
+#: Words of windows that are walked over at once.
+WINDOW_WORDS = 1 << 21
 #: Size of the table of word pairs, far above the pairs of one block.
 PAIR_SLOTS = 1 << 22
 WORD = re.compile(r"[^\W_]+")
@@ -45,13 +51,20 @@ def words_of(text: str | None) -> list[str]:
 
 def end_free_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
     """(edits, length): the least distance of the item to a beginning of the text, most + 1 if above; the shortest such."""
-    row = np.arange(len(text) + 1)
-    steps = np.arange(len(text) + 1)
+    far = most + 1
+    row = np.minimum(np.arange(len(text) + 1), far)
     for i, w in enumerate(item, 1):
-        up = np.minimum(row[1:] + 1, row[:-1] + (text != w))
-        row = np.minimum.accumulate(np.r_[i, up] - steps) + steps  # letters put in between
+        a, b = max(1, i - most), min(len(text), i + most)  # more than `most` off the diagonal costs more than `most`
+        new = np.full(len(row), far)
+        if a == 1:
+            new[0] = min(i, far)
+        if a <= b:
+            steps = np.arange(a - 1, b + 1)
+            up = np.minimum(row[a : b + 1] + 1, row[a - 1 : b] + (text[a - 1 : b] != w))
+            new[a - 1 : b + 1] = np.minimum(np.minimum.accumulate(np.r_[new[a - 1], up] - steps) + steps, far)  # letters put in between
+        row = new
         if row.min() > most:
-            return most + 1, 0
+            return far, 0
     at = int(row.argmin())
     return int(row[at]), at
 
@@ -79,7 +92,8 @@ class Items:
         self.longest = max(self.by_length, default=0)
         self.pad = max(self.edits.values(), default=0)
         random = np.random.default_rng(seed)
-        self.bits = random.integers(0, 2, (WALKS, 3 * self.longest, len(self.vocab) + 1), np.uint8)
+        self.word_mix = random.integers(0, 2**64, len(self.vocab) + 1, np.uint64, endpoint=False)
+        self.step_mix = random.integers(0, 2**64, (WALKS, 2 * self.longest), np.uint64, endpoint=False)
         self.mix = random.integers(1, 2**63, (TABLES, SAMPLE), np.uint64) | np.uint64(1)
         self.coordinates = {n: np.stack([np.sort(random.choice(2 * n, min(SAMPLE, 2 * n), replace=False)) for _ in range(WALKS * TABLES)]).reshape(WALKS, TABLES, -1) for n in self.by_length}
         self.tables = {}
@@ -94,20 +108,35 @@ class Items:
     def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * 0x9E3779B1 + b * 0x85EBCA77) % PAIR_SLOTS
 
+    def coins(self, walk: int, step: int, words: np.ndarray) -> np.ndarray:
+        """0 or 1 for each word: whether the cursor moves on."""
+        h = (self.word_mix[words] ^ self.step_mix[walk, step]) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(63)).astype(np.int64)
+
     def keys(self, windows: np.ndarray, n: int) -> list[np.ndarray]:
         """Hashes of the windows (rows of n ids), one array for each walk and table."""
+        size = max(1, WINDOW_WORDS // n)
+        parts = [self._keys(windows[i : i + size], n) for i in range(0, max(len(windows), 1), size)]
+        return [np.concatenate(p) for p in zip(*parts)]
+
+    def _keys(self, windows: np.ndarray, n: int) -> list[np.ndarray]:
         out = []
         rows = np.arange(len(windows))
         held = np.hstack([windows, np.zeros((len(windows), 1), windows.dtype)])  # the walk rests behind the end
         for r in range(WALKS):
-            at, walk = np.zeros(len(windows), np.int64), np.empty((2 * n, len(windows)), np.uint64)
-            for j in range(2 * n):  # coordinates beyond are rarely reached by differing text
+            wanted = self.coordinates[n][r]
+            picked = np.zeros((*wanted.shape, len(windows)), np.uint64)
+            at, asked = np.zeros(len(windows), np.int64), defaultdict(list)
+            for place in np.ndindex(wanted.shape):
+                asked[int(wanted[place])].append(place)
+            for j in range(int(wanted.max()) + 1):
                 w = held[rows, at]
-                walk[j] = w
-                at = np.minimum(at + self.bits[r, j, w], n)
+                for place in asked.get(j, ()):
+                    picked[place] = w
+                at = np.minimum(at + self.coins(r, j, w), n)
             for t in range(TABLES):
-                picked = walk[self.coordinates[n][r, t]]
-                h = (picked * self.mix[t, : len(picked), None]).sum(0, dtype=np.uint64)
+                h = (picked[t] * self.mix[t, : wanted.shape[1], None]).sum(0, dtype=np.uint64)
                 out.append(h ^ (h >> np.uint64(31)))
         return out
 
@@ -147,8 +176,9 @@ class Items:
                 starts = np.arange(len(flat) - n + 1)
             starts = starts[known[starts + n] - known[starts] >= n - k]
             starts = starts[starts + n <= ends[text_at[starts]] + k]
-            for i in range(0, len(starts), 1 << 14):
-                part = starts[i : i + (1 << 14)]
+            many = max(1, min(1 << 14, WINDOW_WORDS // n))
+            for i in range(0, len(starts), many):
+                part = starts[i : i + many]
                 keys = self.keys(flat[part[:, None] + np.arange(n)], n)
                 found: set[tuple[int, int]] = set()
                 for mine, (table, order) in zip(keys, self.tables[n]):
@@ -162,25 +192,27 @@ class Items:
                         exact.add((t, o))
                         key, place = (t, group[o]), (0, s - int(ends[t] - sizes[t]), n)
                         best[key] = min(best.get(key, place), place)
-                for s, o in found:
+                for s, o in sorted(found):
                     t = int(text_at[s])
                     if (t, o) in exact:
                         continue
-                    edits, size = end_free_distance(items[o], flat[s : min(s + n + k, int(ends[t]))], k)
-                    if edits <= k:
+                    key = (t, group[o])
+                    most = min(k, best[key][0]) if key in best else k
+                    edits, size = end_free_distance(items[o], flat[s : min(s + n + k, int(ends[t]))], most)
+                    if edits <= most:
                         place = (edits, s - int(ends[t] - sizes[t]), size)
-                        key = (t, group[o])
                         best[key] = min(best.get(key, place), place)
         for (t, item), (edits, first, size) in best.items():
             for name in self.names[item]:
                 yield t, name, first, size, edits
 
 
-def item_blocks(benchmark: DataFrame, size: int = ITEMS) -> Iterator[list[tuple[int, str]]]:
-    """The items in lists of about `size`, dealt by a hash of their id."""
-    n = max(1, -(-benchmark.count() // size))
+def item_blocks(benchmark: DataFrame, size: int = ITEM_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """The items in lists of about `size` bytes, dealt by a hash of their id and text."""
+    total = benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    n = max(1, -(-total // size))
     for i in range(n):
-        yield [tuple(r) for r in benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).select(F.col("item_id").cast("long"), "text").collect()]
+        yield [tuple(r) for r in benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).select(F.col("item_id").cast("long"), "text").collect()]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

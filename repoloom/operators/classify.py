@@ -97,28 +97,48 @@ def large_flag(size: Column, selectable: Column, limit: int = lk.LARGE_FILE_BYTE
 
 
 def file_size(columns: list[str]) -> Column:
-    """Listed size of a file where there is one, else the length of its bytes; unknown types are measured."""
+    """Listed size of a file where there is one, else the length of its bytes; unknown types are measured.
+
+    With a `head` the listed size is that of the bytes.
+    """
+    if "head" in columns:
+        return F.when(~F.col("is_unknown") | F.col("head").isNotNull(), F.col("size"))
     measured = F.length("content").cast("bigint")
     listed = F.coalesce(F.col("size"), measured) if "size" in columns else measured
     return F.when(F.col("is_unknown"), measured).otherwise(listed)
 
 
+def packed(files: DataFrame) -> DataFrame:
+    """Files with `size` and `head`, for storing: an inventory of the stored table doesn't read `content`.
+
+    `head` holds the sniffed bytes of files of unknown type; other types are never sniffed. Sizes are those of the bytes,
+    listed ones where a file has none.
+    """
+    measured = F.length("content").cast("bigint")
+    size = F.coalesce(measured, F.col("size")) if "size" in files.columns else measured
+    df = with_classes(files.drop("head"))
+    head = F.when(F.col("is_unknown"), F.substring("content", 1, lk.SNIFF_BYTES))
+    keep = [c for c in files.columns if c not in ("size", "head", "content")]
+    return df.select(*keep, size.alias("size"), head.alias("head"), "content")
+
+
 def inventory(files: DataFrame, large_bytes: int = lk.LARGE_FILE_BYTES) -> DataFrame:
     """One row per file: class, language, whether it can be selected, size, error, large.
 
     Unknown types are sniffed. A file whose bytes are missing is not selectable and
     carries an error instead of failing the run. A `type` column, where present, keeps
-    blobs only; blank paths are dropped.
+    blobs only; blank paths are dropped. Where `head` and `size` are columns (`packed`, `with_head`), `content` isn't read.
     """
     df = files.filter(~is_blank(F.col("path")))
     if "type" in df.columns:
         df = df.filter(F.lower("type") == "blob")
     size = file_size(df.columns)
+    sample = F.col("head" if "head" in df.columns else "content")
     df = with_classes(df)
     selectable = F.when(
-        F.col("is_unknown"), F.coalesce(~looks_binary(F.col("content")), F.lit(False))
+        F.col("is_unknown"), F.coalesce(~looks_binary(sample), F.lit(False))
     ).otherwise(F.col("by_name_selectable"))
-    failed = F.col("is_unknown") & F.col("content").isNull()
+    failed = F.col("is_unknown") & sample.isNull()
     keys = [c for c in ("repo", "branch", "pos", "path") if c in df.columns]
     df = df.select(
         *keys,

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from repoloom.functions.paths import FIRST, LEVEL_END, SECOND, normalize_path, path_parts
 from repoloom.functions.text import is_blank, trim_end
+from repoloom.operators.ranking import running_totals
+from repoloom.session import pinned
 
 # Connectors and indents of the listing.
 BRANCH, LAST = "|-- ", "\\-- "
@@ -135,13 +137,21 @@ def tree_listing(items: DataFrame, projects: DataFrame) -> DataFrame:
     return heads.unionByName(tree_lines(tree_nodes(items)))
 
 
-def tree_text(listing: DataFrame) -> DataFrame:
-    """Tree of each repository as one string, white space at the end cut.
+def tree_text(listing: DataFrame, piece_chars: int = 64_000_000) -> DataFrame:
+    """Trees as text `(repo, branch, piece, tree_text)`, white space at the end cut.
 
-    For repositories whose listing fits one cell; `tree_listing` holds the same lines as
-    rows for the others.
+    A tree is one piece unless it is longer than `piece_chars`; then it is cut between lines, and its pieces joined in
+    order, with nothing between, give the whole. No cell and no group outgrows a task. Only the last line can end in white
+    space that counts: a listing line always holds a connector.
     """
-    lines = F.array_sort(F.collect_list(F.struct("line_key", "line")))
-    return listing.groupBy("repo", "branch").agg(
-        trim_end(F.array_join(F.transform(lines, lambda p: p["line"]), "\n")).alias("tree_text")
+    stored = pinned(listing)
+    last = stored.groupBy("repo", "branch").agg(F.max("line_key").alias("line_key")).withColumn("is_end", F.lit(True))
+    lines = stored.join(last, ["repo", "branch", "line_key"], "left")
+    line = F.when(F.col("is_end"), trim_end(F.col("line"))).otherwise(F.col("line"))
+    lines = lines.select("repo", "branch", "line_key", F.concat(F.when(F.col("line_key") == "", "").otherwise("\n"), line).alias("line"))
+    placed = running_totals(lines, ["repo", "branch"], ["line_key"], {"before": F.length("line")})
+    ordered = F.array_sort(F.collect_list(F.struct("line_key", "line")))
+    return (
+        placed.groupBy("repo", "branch", F.call_function("div", F.col("before"), F.lit(piece_chars)).alias("piece"))
+        .agg(F.array_join(F.transform(ordered, lambda p: p["line"]), "").alias("tree_text"))
     )

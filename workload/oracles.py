@@ -82,6 +82,7 @@ inv AS (SELECT *, CASE WHEN is_image THEN 'image' WHEN is_pdf THEN 'pdf' WHEN is
 inv2 AS (SELECT *, coalesce(n_bytes >= 1000, false) AND selectable AS large FROM inv)"""
 ORACLES["inventory"] = f"""WITH {INV} SELECT repo, path, pos, class, language, selectable, coalesce(n_bytes, -1) AS size,
  CASE WHEN failed THEN 'bytes not readable' ELSE '-' END AS error, large FROM inv2"""
+ORACLES["inventory_packed"] = ORACLES["inventory"]
 ORACLES["node_state"] = f"""WITH {INV} SELECT repo, pos,
  regexp_extract(path, '([^/]*)$', 1) || CASE WHEN failed THEN ' (analyse impossible)' ELSE '' END AS label,
  CASE WHEN selectable THEN 'selectable' WHEN failed THEN 'failed' ELSE 'binary' END AS state,
@@ -108,6 +109,8 @@ ORACLES["src_files_checkout"] = """SELECT repo, branch, folder, error, line, cou
  SELECT CASE WHEN i THEN source ELSE '-' END AS repo, CASE WHEN i THEN lang ELSE '-' END AS branch, CASE WHEN i THEN '' ELSE 'elsewhere/source=' || source END AS folder,
   CASE WHEN i THEN '-' ELSE 'outside of the layout' END AS error, unnest(string_split(text, chr(10))) AS line
  FROM (SELECT *, doc_id % 50 <> 0 AS i FROM documents)) GROUP BY ALL"""
+ORACLES["src_listing_checkout"] = f"""WITH rf AS ({REPO_FILES}) SELECT repo, branch, doc_id || '/' || path AS path, octet_length(encode(content)) AS size, '-' AS error,
+ sha256(content) AS sha FROM rf"""
 FLAT = f"""SELECT source AS repo, doc_id * {STEP} + nth AS pos, CASE nth WHEN 0 THEN lang || '/' || doc_id ELSE lang END AS path,
  CASE WHEN doc_id % 5 = 2 THEN '' WHEN nth = 0 THEN 'blob' ELSE 'tree' END AS type, false AS failed
  FROM documents, range(2) r(nth) WHERE doc_id % 5 = 0 OR (doc_id % 5 IN (1, 2) AND nth = 0)"""

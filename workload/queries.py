@@ -19,8 +19,8 @@ from repoloom.operators import signatures as sg
 from repoloom.operators.blocks import block_ends, body_start
 from repoloom.plans import document as doc
 from repoloom.plans import functions as fn
-from repoloom.session import ensure_checkpoint_dir
-from repoloom.sources import checkouts, responses, writers
+from repoloom.session import ensure_checkpoint_dir, pinned
+from repoloom.sources import checkouts, listing, responses, writers
 from workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,18 @@ def src_files_checkout(spark, sf):
     return rows.groupBy("repo", "branch", "folder", "error", "line").agg(F.count("*").alias("n"), F.max("unread").alias("unread"))
 
 
+@query
+def src_listing_checkout(spark, sf):
+    """Write a file of every class per document, list the folders in tasks and read the files back: names, sizes and bytes."""
+    files = repo_bytes(spark, sf).withColumn("path", F.concat(F.col("doc_id").cast("string"), F.lit("/"), "path"))
+    home = f"{ensure_checkpoint_dir(spark)}/checkouts-{uuid.uuid4().hex}"
+    listing.write_checkouts(files, home)
+    got = listing.with_content(listing.list_checkouts(spark, home), home)
+    return got.select(
+        "repo", "branch", "path", "size", F.coalesce("error", F.lit("-")).alias("error"), F.sha2("content", 256).alias("sha")
+    )
+
+
 @query
 def src_tree_flat_json(spark, sf):
     docs = views.table(spark, sf, "documents")
@@ -295,6 +307,17 @@ def inventory(spark, sf):
     )
 
 
+@query
+def inventory_packed(spark, sf):
+    """The inventory of a stored table with sizes and heads, which leaves the bytes unread."""
+    files = repo_bytes(spark, sf).withColumn("content", F.when(F.col("doc_id") % 7 != 0, F.col("content")))
+    inv = classify.inventory(pinned(classify.packed(files)), large_bytes=1000)
+    return inv.select(
+        "repo", "path", "pos", "class", "language", "selectable", F.coalesce("size", F.lit(-1)).alias("size"),
+        F.coalesce("error", F.lit("-")).alias("error"), "large",
+    )
+
+
 @query
 def node_state(spark, sf):
     return classify.node_state(repo_inventory(spark, sf)).select("repo", "pos", "label", "state", "hint")

@@ -9,90 +9,119 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # Markdown language tag of special file names (ignore case).
-LANGUAGE_BY_NAME = """
-Dockerfile docker
-Makefile makefile
-Doxyfile ini
-CMakeLists.txt cmake
-Jenkinsfile groovy
-Gemfile ruby
-Rakefile ruby
-Vagrantfile ruby
-Podfile ruby
-Fastfile ruby
-Brewfile ruby
-"""
-
-# Markdown language tag, then the extensions that carry it (ignore case).
-EXTENSIONS_BY_LANGUAGE = """
-c .c .h
-cpp .cpp .cc .cxx .hpp .hh
-csharp .cs
-xml .csproj .vbproj .fsproj .vcxproj .resx .config .props .targets .xml
-java .java
-kotlin .kt .kts
-groovy .groovy
-scala .scala
-javascript .js .mjs .cjs .jsx
-typescript .ts .tsx
-vue .vue
-svelte .svelte
-html .html .htm
-css .css
-scss .scss
-sass .sass
-less .less
-python .py
-ruby .rb
-php .php
-go .go
-rust .rs
-swift .swift
-lua .lua
-dart .dart
-perl .pl
-r .r
-gdscript .gd
-glsl .shader .glsl
-hlsl .hlsl
-fsharp .fs .fsx
-elm .elm
-clojure .clj
-json .json
-yaml .yml .yaml
-toml .toml
-ini .ini .cfg .editorconfig .gitmodules .npmrc .coveragerc
-csv .csv
-sql .sql
-bash .sh .bash .zsh .env
-powershell .ps1
-batch .bat
-markdown .md
-plaintext .sln .txt .log
-docker .dockerfile
-gitignore .gitignore .gitattributes
-"""
+LANGUAGE_BY_NAME = {
+    "Dockerfile": "docker",
+    "Makefile": "makefile",
+    "Doxyfile": "ini",
+    "CMakeLists.txt": "cmake",
+    "Jenkinsfile": "groovy",
+    "Gemfile": "ruby",
+    "Rakefile": "ruby",
+    "Vagrantfile": "ruby",
+    "Podfile": "ruby",
+    "Fastfile": "ruby",
+    "Brewfile": "ruby",
+}
+
+# Markdown language tag of extensions (ignore case).
+LANGUAGE_BY_EXTENSION = {
+    ".c": "c",
+    ".h": "c",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".hpp": "cpp",
+    ".hh": "cpp",
+    ".cs": "csharp",
+    ".csproj": "xml",
+    ".vbproj": "xml",
+    ".fsproj": "xml",
+    ".vcxproj": "xml",
+    ".resx": "xml",
+    ".config": "xml",
+    ".props": "xml",
+    ".targets": "xml",
+    ".xml": "xml",
+    ".java": "java",
+    ".kt": "kotlin",
+    ".kts": "kotlin",
+    ".groovy": "groovy",
+    ".scala": "scala",
+    ".js": "javascript",
+    ".mjs": "javascript",
+    ".cjs": "javascript",
+    ".jsx": "javascript",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".vue": "vue",
+    ".svelte": "svelte",
+    ".html": "html",
+    ".htm": "html",
+    ".css": "css",
+    ".scss": "scss",
+    ".sass": "sass",
+    ".less": "less",
+    ".py": "python",
+    ".rb": "ruby",
+    ".php": "php",
+    ".go": "go",
+    ".rs": "rust",
+    ".swift": "swift",
+    ".lua": "lua",
+    ".dart": "dart",
+    ".pl": "perl",
+    ".r": "r",
+    ".gd": "gdscript",
+    ".shader": "glsl",
+    ".glsl": "glsl",
+    ".hlsl": "hlsl",
+    ".fs": "fsharp",
+    ".fsx": "fsharp",
+    ".elm": "elm",
+    ".clj": "clojure",
+    ".json": "json",
+    ".yml": "yaml",
+    ".yaml": "yaml",
+    ".toml": "toml",
+    ".ini": "ini",
+    ".cfg": "ini",
+    ".editorconfig": "ini",
+    ".gitmodules": "ini",
+    ".npmrc": "ini",
+    ".coveragerc": "ini",
+    ".csv": "csv",
+    ".sql": "sql",
+    ".sh": "bash",
+    ".bash": "bash",
+    ".zsh": "bash",
+    ".env": "bash",
+    ".ps1": "powershell",
+    ".bat": "batch",
+    ".md": "markdown",
+    ".sln": "plaintext",
+    ".txt": "plaintext",
+    ".log": "plaintext",
+    ".dockerfile": "docker",
+    ".gitignore": "gitignore",
+    ".gitattributes": "gitignore",
+}
 
 # Extensions of binary files (ignore case).
-BINARY_EXTENSIONS = """
-.zip .rar .7z .tar .gz .tgz .bz2 .xz .lz .lz4 .lzma .zst .cab
-.jar .war .ear .nupkg .snupkg .vsix .whl
-.exe .dll .so .dylib .bin .msi .app .deb .rpm .com .scr .sys .drv .ocx
-.appx .appxbundle .msix .msixbundle .apk .ipa
-.o .obj .a .lib .class .pyc .pyo .pyd .pdb .ilk .idb .pch .ipch .wasm .dex
-.doc .docx .docm
-.xls .xlsx .xlsm
-.ppt .pptx .pptm
-.mp3 .wav .flac .aac .ogg .m4a .wma
-.mp4 .avi .mov .mkv .webm .flv .wmv .mpeg .mpg .m4v .3gp
-.ttf .otf .woff .woff2 .eot
-.sqlite .sqlite3 .db .db3 .mdb .accdb .sdf .parquet
-.psd .ai .sketch .fig
-.iso .dmg
-"""
+BINARY_EXTENSIONS = {
+    ".zip", ".rar", ".7z", ".tar", ".gz", ".tgz", ".bz2", ".xz", ".lz", ".lz4", ".lzma", ".zst",
+    ".cab", ".jar", ".war", ".ear", ".nupkg", ".snupkg", ".vsix", ".whl", ".exe", ".dll", ".so",
+    ".dylib", ".bin", ".msi", ".app", ".deb", ".rpm", ".com", ".scr", ".sys", ".drv", ".ocx",
+    ".appx", ".appxbundle", ".msix", ".msixbundle", ".apk", ".ipa", ".o", ".obj", ".a", ".lib",
+    ".class", ".pyc", ".pyo", ".pyd", ".pdb", ".ilk", ".idb", ".pch", ".ipch", ".wasm", ".dex",
+    ".doc", ".docx", ".docm", ".xls", ".xlsx", ".xlsm", ".ppt", ".pptx", ".pptm", ".mp3", ".wav",
+    ".flac", ".aac", ".ogg", ".m4a", ".wma", ".mp4", ".avi", ".mov", ".mkv", ".webm", ".flv",
+    ".wmv", ".mpeg", ".mpg", ".m4v", ".3gp", ".ttf", ".otf", ".woff", ".woff2", ".eot", ".sqlite",
+    ".sqlite3", ".db", ".db3", ".mdb", ".accdb", ".sdf", ".parquet", ".psd", ".ai", ".sketch",
+    ".fig", ".iso", ".dmg",
+}
 
 # Extensions of exportable images and of PDF files (ignore case).
-IMAGE_EXTENSIONS = ".png .jpg .jpeg .gif .bmp .webp .svg .ico"
+IMAGE_EXTENSIONS = {".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".svg", ".ico"}
 PDF_EXTENSION = ".pdf"
 
 # Prefix of environment files, their language, the default language.
@@ -109,22 +138,11 @@ SNIFF_PERCENT = 30
 CHARSET_BYTES = 8192
 
 
-def languages_by_name() -> dict[str, str]:
-    return {k.lower(): v for k, v in (line.split() for line in LANGUAGE_BY_NAME.strip().splitlines())}
-
-
-def languages_by_extension() -> dict[str, str]:
-    rows = (line.split() for line in EXTENSIONS_BY_LANGUAGE.strip().splitlines())
-    return {ext: tag for tag, *exts in rows for ext in exts}
-
-
 def extension_dim(spark: SparkSession) -> DataFrame:
     """One row per known extension: its language tag and its classes."""
-    language = languages_by_extension()
-    binary, image = set(BINARY_EXTENSIONS.split()), set(IMAGE_EXTENSIONS.split())
     rows = [
-        (ext, language.get(ext), ext in language, ext in binary, ext in image, ext == PDF_EXTENSION)
-        for ext in sorted({*language, *binary, *image, PDF_EXTENSION})
+        (ext, LANGUAGE_BY_EXTENSION.get(ext), ext in LANGUAGE_BY_EXTENSION, ext in BINARY_EXTENSIONS, ext in IMAGE_EXTENSIONS, ext == PDF_EXTENSION)
+        for ext in sorted({*LANGUAGE_BY_EXTENSION, *BINARY_EXTENSIONS, *IMAGE_EXTENSIONS, PDF_EXTENSION})
     ]
     return spark.createDataFrame(
         rows,
@@ -134,4 +152,4 @@ def extension_dim(spark: SparkSession) -> DataFrame:
 
 def file_name_dim(spark: SparkSession) -> DataFrame:
     """One row per special file name, lower case, with its language tag."""
-    return spark.createDataFrame(list(languages_by_name().items()), "name_key string, name_language string")
+    return spark.createDataFrame([(k.lower(), v) for k, v in LANGUAGE_BY_NAME.items()], "name_key string, name_language string")

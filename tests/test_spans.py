@@ -113,7 +113,7 @@ def test_fast_path_equals_scan(spark, dialect):
     assert [r for r in got if r["fast"] != r["exact"]] == []
 
 
-# The forms that the reduced patterns must agree with.
+# The forms that the reduced patterns must agree with.
 PLAIN = {
     "java": r"^\s*(?:public|private|protected|static|final|synchronized|abstract|native|\s)+\s*(?:[\w<>\[\], ?\.]+)\s+([A-Za-z_]\w*)\s*\(",
     "csharp_method": r"^\s*(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|virtual|override|abstract|sealed|new|partial|async)\s+)*(?:[\w<>\[\],\s\?]+\s+)?([@\w]+)\s*\([^;{]*\)\s*\{",

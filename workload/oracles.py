@@ -39,14 +39,15 @@ def ext_of(path: str) -> str:
 
 # ---------------------------------------------------------------- classification
 
-LANG_EXT = lk.languages_by_extension()
+LANG_EXT = lk.LANGUAGE_BY_EXTENSION
+LANG_NAME = {k.lower(): v for k, v in lk.LANGUAGE_BY_NAME.items()}
 CLASSED = f"""{RF},
 names AS (SELECT *, lower({name_of("path")}) AS nm, {ext_of("path")} AS ext FROM rf),
 cls AS (SELECT *,
- ext IN ({quoted(lk.IMAGE_EXTENSIONS.split())}) AS is_image, ext = '.pdf' AS is_pdf,
- ext IN ({quoted(LANG_EXT)}) OR nm IN ({quoted(lk.languages_by_name())}) OR nm LIKE '.env%' AS is_text,
- ext IN ({quoted(lk.BINARY_EXTENSIONS.split())}) AS is_binary,
- coalesce({case_map("nm", lk.languages_by_name())}, CASE WHEN nm LIKE '.env%' THEN 'bash' END, {case_map("ext", LANG_EXT)}, 'plaintext') AS language
+ ext IN ({quoted(lk.IMAGE_EXTENSIONS)}) AS is_image, ext = '.pdf' AS is_pdf,
+ ext IN ({quoted(LANG_EXT)}) OR nm IN ({quoted(LANG_NAME)}) OR nm LIKE '.env%' AS is_text,
+ ext IN ({quoted(lk.BINARY_EXTENSIONS)}) AS is_binary,
+ coalesce({case_map("nm", LANG_NAME)}, CASE WHEN nm LIKE '.env%' THEN 'bash' END, {case_map("ext", LANG_EXT)}, 'plaintext') AS language
  FROM names)"""
 
 for _id, _expr in {
@@ -259,6 +260,7 @@ def sql(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+# Signature patterns and the group that holds the name.
 # Languages by k % 7: 0 C#, 1 JavaScript, 2 Java, 3 Python, 4 Lua, 5 PHP, 6 Rust.
 RULES = {
     "csharp_method": (0, r"(?m)^\s*(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|virtual|override|abstract|sealed|new|partial|async)\s+)*(?:([\w<>\[\],\s\?]+)\s+)?([@\w]+)\s*\([^;{]*\)\s*\{", 2),

@@ -13,7 +13,9 @@
    `links` searches again with twice the beam and slack while recall is below `RECALL`.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, as do rows without a
-label. Copies link with each other. A null vec_id is counted and keeps a null component unless it links.
+label. Copies link with each other. A null vec_id is counted and keeps a null component unless it links. Rows that repeat a
+vec_id are vectors of their own and link like copies; equal cosines need no order, since every pair at the threshold counts.
+Columns other than vec_id, embedding and label are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

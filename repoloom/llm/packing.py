@@ -8,7 +8,8 @@ the window, and each piece is a boundary record. Nothing is shuffled, and only t
 last sequence can be short.
 
 Null and empty texts are the end id alone. Repeated rows are packed as often as they stand.
-A null doc_id stays null. The order is that of the input's partitions.
+A null doc_id stays null. The order is that of the input's partitions. Texts of any length are encoded whole, other
+columns are not read, and an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ escaped text of every assistant turn.
 A null or unknown parent makes a root. Null texts and roles are empty, null scores 0. Messages on a
 cycle have no root and no leaf, and what hangs below a cycle is left out. Message ids are
 unique within a tree; of repeated ids the smallest (role, text) stays. An empty table gives
-no rows.
+no rows, and other columns are not read. In `chain`, all rows without a conv_id make one conversation, a null turn comes
+first, and repeated rows are turns of their own.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Variants are shuffled, and the prints that meet on one are verified by their exa
 distance. Prints are made distinct first, so copies cost nothing.
 
 Null and empty texts have the print 0 and are linked like any other. Documents of equal id
-are judged by their own texts; a null id takes part but never names a component.
+are judged by their own texts; a null id takes part but never names a component. Texts of any length are
+taken whole, other columns are not read, and an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ from workload.queries import QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 SOME = """cls_language inventory select_files decode_text charset_alias md_anchor content_urls lines file_order tree_listing
 unique_package_name src_tree_flat_json src_content_json sniff_binary fn_names fn_spans match_brace outline span_parent
-code_segments merge_corpus sink_markdown js_body rust_body open_brace_of_signature""".split()
+code_segments merge_corpus sink_markdown js_body rust_body open_brace_of_signature
+src_listing_checkout inventory_packed tree_text""".split()
 
 
 @pytest.fixture(scope="module")

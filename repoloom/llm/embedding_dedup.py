@@ -1,16 +1,22 @@
 """Near-duplicate embeddings by robust-pruned flat graphs on overlapping shards.
 
-1. Vectors of one label and dimension, equal ones once, are dealt to shards: `CENTERS` vectors of a shard with
-   more than `MOST` (chosen by a hash, the bounded sample the index is fitted on) are centres, and
-   every vector goes to its `OVERLAP` nearest; again while a shard is too large. Every vector is indexed.
+1. Vectors of one label and dimension, equal ones once, are dealt to shards of about `MOST` / 2. At most `FAN` vectors of a
+   larger shard (chosen by a hash, the bounded sample the index is fitted on) are centres, and every vector goes to its nearest
+   one; at the last level expected it goes to its two nearest. So a vector has one or two homes, however many levels there are.
+   Vectors that lie on top of each other are told apart by a small number drawn from their names, so that every level divides
+   them. Every vector is indexed.
 2. Each shard builds a graph: candidates are the `POOL` nearest members and some random ones, and
    robust pruning keeps one only if no kept neighbour is `ALPHA` times nearer to it. The
-   lists that a vector has in several shards are united.
+   lists that a vector has in its two shards are united.
 3. Every vector is a query in all shards whose centre is at most `SLACK` degrees farther than its nearest one.
-   A greedy search starts from the shard's medoid; then everything within reach of the threshold is expanded
-   until nothing new is found. Hot shards are searched by several tasks, each with a part of the queries.
-4. Cosines in double precision verify every pair. `audit` compares a bounded sample of queries with brute force;
-   `links` searches again with twice the beam and slack while recall is below `RECALL`.
+   A greedy search starts from the shard's medoid, at home from the vector itself too; then everything within reach of the threshold is expanded
+   until nothing new is found. Where that meets a vector whose other home the query hasn't seen, the search goes on there in the
+   next round, so that it follows the united lists across shards; rounds end when no query has a shard left.
+   Hot shards are searched by several tasks, each with a part of the queries.
+4. Cosines in double precision verify every pair. Pairs aren't given out: a task adds up the links of each query, each pair in the
+   first shard where the query meets the other vector, and keeps a spanning forest of its links. `audit` compares a bounded sample
+   of queries with brute force; `links` searches again with twice the beam and slack while recall is below `RECALL`, and the last
+   time in all shards with a beam without end, which misses nothing.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, as do rows without a
 label. Copies link with each other. A null vec_id is counted and keeps a null component unless it links. Rows that repeat a
@@ -27,13 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from repoloom.llm.common import stored
-from repoloom.llm.components import components
+from repoloom.llm.components import components, union_roots
 
 COSINE = 0.93
-MOST, CENTERS, OVERLAP = 3000, 8, 2
+MOST, FAN, LEVELS = 3000, 256, 12
+TIES = 0.01  # degrees
 POOL, FAR, DEGREE, ALPHA = 64, 8, 24, 1.2
-BEAM, SLACK = 24, 4.0
+BEAM, SLACK = 24, 2.0
 QUERIES = 4000
+HELD = 1 << 20  # links held by a task before they become a forest
 AUDIT, RECALL = 500, 0.95
 
 
@@ -46,44 +54,74 @@ def classes(vectors: DataFrame) -> DataFrame:
     return one.select(F.xxhash64("label", "embedding").alias("cls"), F.concat_ws("/", "label", F.size("embedding")).alias("label"), F.transform("embedding", lambda v: v.cast("double") / F.col("_norm")).alias("x"), "rep", "copies")
 
 
-def _nearest(most: int, slack: float | None):
-    """Rows with their shard's centres to one row per next shard: the nearest ones, or those within `slack` degrees of the nearest."""
+def _draws(cls: np.ndarray, n: int) -> np.ndarray:
+    """Numbers from 0 to 1, the same whenever a task is tried again: one row per name, n columns."""
+    with np.errstate(over="ignore"):
+        z = cls.astype(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (z ^ (z >> np.uint64(31))) / 2.0**64
+
+
+def _angles(rows: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
+    centers = np.stack(list(held["centers"].iloc[0]))
+    return np.degrees(np.arccos(np.clip(np.stack(rows["x"].to_list()) @ centers.T, -1, 1)))
+
+
+def _moved(rows: pd.DataFrame, row: np.ndarray, to: np.ndarray, **more) -> pd.DataFrame:
+    out = rows.drop(columns=["part"]).iloc[row].copy()
+    out["shard"] = [f"{s}.{k}" for s, k in zip(out["shard"], to)]
+    return out.assign(**more)
 
-    def run(batches):
-        for df in batches:
-            if not len(df):
-                continue
-            out = []
-            for shard, part in df.groupby("shard", sort=False):
-                c = part["centers"].iloc[0]
-                if c is None:
-                    out.append(part.drop(columns=["centers"]))
-                    continue
-                angle = np.degrees(np.arccos(np.clip(np.stack(part["x"].to_list()) @ np.stack(list(c)).T, -1, 1)))
-                take = angle <= (np.sort(angle, 1)[:, : most][:, -1:] if slack is None else angle.min(1, keepdims=True) + slack)
-                row, col = np.nonzero(take)
-                new = part.drop(columns=["centers"]).iloc[row].copy()
-                new["shard"] = [f"{shard}.{k}" for k in col]
-                out.append(new)
-            yield pd.concat(out)
+
+def _deal(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """Members of a shard to the nearest centre, or to the two nearest."""
+    angle = _angles(rows, held)
+    angle += TIES * _draws(rows["cls"].to_numpy(), angle.shape[1])
+    wide = bool(held["wide"].iloc[0]) and not rows["doubled"].iloc[0]
+    take = np.argsort(angle, 1, kind="stable")[:, : 2 if wide else 1]
+    return _moved(rows, np.repeat(np.arange(len(rows)), take.shape[1]), take.ravel(), doubled=wide or bool(rows["doubled"].iloc[0]))
+
+
+def _route(slack: float):
+    def run(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        angle = _angles(rows, held)
+        return _moved(rows, *np.nonzero(angle <= angle.min(1, keepdims=True) + slack))
 
     return run
 
 
+def _by_part(rows: DataFrame, held: DataFrame) -> tuple:
+    """Rows in parts of about `QUERIES` of a shard, and what each part needs of the shard, both grouped."""
+    parts = rows.join(held.select("shard").distinct(), "shard", "left_semi").groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    dealt = rows.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).drop("parts")
+    copied = held.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return dealt.groupBy("shard", "part"), copied.groupBy("shard", "part")
+
+
+def _split(rows: DataFrame, centers: DataFrame, run) -> DataFrame:
+    """Rows of shards with centres moved by `run`, others as they are."""
+    dealt, held = _by_part(rows, centers)
+    return rows.join(centers.select("shard"), "shard", "left_anti").select(rows.columns).union(dealt.cogroup(held).applyInPandas(run, rows.schema))
+
+
 def shards(vectors: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """((cls, x, shard) members, the centres of each level as (shard, centers))."""
-    members = stored(vectors.select("cls", "x", F.col("label").alias("shard")))
-    levels = []
-    for _ in range(12):
-        large = members.groupBy("shard").count().filter(F.col("count") > MOST).select("shard")
+    """((cls, x, shard, doubled) members, the centres of each level as (shard, centers, wide))."""
+    members = stored(vectors.select("cls", "x", F.col("label").alias("shard"), F.lit(False).alias("doubled")))
+    levels: list[DataFrame] = []
+    wanted = F.ceil(F.col("n") * 4 / MOST)
+    steps = F.greatest(F.ceil(F.log(wanted) / float(np.log(FAN))), F.lit(1))
+    while True:
+        large = members.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > MOST)
+        large = large.select("shard", F.ceil(F.pow(wanted, 1 / steps)).alias("k"), (steps == 1).alias("wide"))
         order = Window.partitionBy("shard").orderBy(F.xxhash64("cls", F.lit(5)), "cls")
-        picked = members.join(large, "shard").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= CENTERS)
-        centers = stored(picked.groupBy("shard").agg(F.collect_list("x").alias("centers")))
+        picked = members.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= FAN).join(large, "shard").filter("i <= k")
+        centers = stored(picked.groupBy("shard").agg(F.collect_list("x").alias("centers"), F.first("wide").alias("wide")))
         if centers.isEmpty():
-            break
+            return members, levels
+        if len(levels) == LEVELS:
+            raise RuntimeError(f"shards above {MOST} vectors are left after {LEVELS} levels")
         levels.append(centers)
-        members = stored(members.join(centers, "shard", "left").mapInPandas(_nearest(OVERLAP, None), "cls long, x array<double>, shard string"))
-    return members, levels
+        members = stored(_split(members, centers, _deal))
 
 
 def prune(sims: np.ndarray, to: np.ndarray) -> list[int]:
@@ -137,26 +175,35 @@ def build(df: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cls": names, "near": [names[sorted(v)] for v in lists]})
 
 
-def _search(beam: int, threshold: float):
-    def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+COUNT, EDGE, FURTHER = 0, 1, 2
+
+
+def _search(beam: float, threshold: float):
+    """Rows (kind, a, b): links of query a by weight, an edge of the forest, or a shard where query a goes on."""
+
+    def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"kind": np.zeros(0, np.int32), "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         if not len(members) or not len(queries):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            return none
         members = members.sort_values("cls")
-        x, names = np.stack(members["x"].to_list()), members["cls"].to_numpy()
+        x, names, copies = np.stack(members["x"].to_list()), members["cls"].to_numpy(), members["copies"].to_numpy()
         lists = [np.asarray(v, np.int64) for v in members["near"]]
         size = np.array([len(v) for v in lists])
-        flat = np.concatenate(lists)
+        owner, flat = np.repeat(np.arange(len(lists)), size), np.concatenate(lists)
         at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
-        here = names[at] == flat  # neighbours in other shards are searched there
-        flat, size = at[here], np.add.reduceat(np.r_[here, False].astype(np.int64), np.cumsum(size) - size) * (size > 0)
+        here = names[at] == flat  # the others are met in their own homes
+        flat, size = at[here], np.bincount(owner[here], minlength=len(names))
         first = np.cumsum(size) - size
-        start, a, b = medoid(x), [], []
-        reach = threshold - 0.03
-        for name, q in zip(queries["cls"], queries["x"]):
+        own = int(members["home"].iloc[0])
+        other = np.array([next((h for h in v if h != own), own) for v in members["homes"]], np.int64)
+        start, reach = medoid(x), threshold - 0.03
+        out, u, v, waiting = [], [], [], 0
+        for name, q, before, now in zip(queries["cls"], queries["x"], queries["before"], queries["now"]):
             sim = np.full(len(x), -2.0)
             done = np.zeros(len(x), bool)
-            sim[start] = x[start] @ q
-            found = np.array([start])
+            own_row = min(int(np.searchsorted(names, name)), len(names) - 1)
+            found = np.unique([start, own_row] if names[own_row] == name else [start])
+            sim[found] = x[found] @ q
             while True:
                 top = found if len(found) <= beam else found[np.argpartition(-sim[found], beam - 1)[:beam]]
                 top = np.union1d(top, found[sim[found] >= reach])
@@ -169,75 +216,103 @@ def _search(beam: int, threshold: float):
                 new = np.unique(new[sim[new] == -2])
                 sim[new] = x[new] @ q
                 found = np.concatenate([found, new])
-            hit = found[sim[found] >= threshold]
-            b.append(names[hit])
-            a.append(np.full(len(hit), name))
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
+            near = found[sim[found] >= reach]
+            further = np.setdiff1d(other[near], np.concatenate([before, now]))
+            if len(further):
+                out.append((FURTHER, name, further))
+            hit = near[(sim[near] >= threshold) & (names[near] != name)]
+            known = other[hit]
+            hit = hit[~(np.isin(known, before) | (np.isin(known, now) & (known < own)))]
+            if len(hit):
+                out.append((COUNT, name, copies[hit].sum(keepdims=True)))
+                u.append(np.full(len(hit), name))
+                v.append(names[hit])
+                waiting += len(hit)
+                if waiting > HELD:
+                    u, v = ([w] for w in union_roots(np.concatenate(u), np.concatenate(v)))
+                    waiting = 0
+        made = [pd.DataFrame({"kind": np.int32(kind), "a": np.int64(name), "b": b}) for kind, name, b in out]
+        if u:
+            a, b = union_roots(np.concatenate(u), np.concatenate(v))
+            made.append(pd.DataFrame({"kind": np.int32(EDGE), "a": a, "b": b}))
+        return pd.concat(made) if made else none
 
     return run
 
 
-def search(vectors: DataFrame, members: DataFrame, graph: DataFrame, levels: list[DataFrame], beam: int, slack: float, threshold: float) -> DataFrame:
-    """(a, b) both ways: pairs of classes with a cosine of `threshold` or more that the graphs lead to."""
-    routed = vectors.select("cls", "x", F.col("label").alias("shard"))
+def search(vectors: DataFrame, members: DataFrame, graph: DataFrame, levels: list[DataFrame], beam: float, slack: float, threshold: float) -> DataFrame:
+    """(kind, a, b): weights of the links of `threshold` or more that the graphs lead to, and a forest that spans them."""
+    home = F.xxhash64("shard").alias("home")
+    homes = members.groupBy("cls").agg(F.collect_set(home).alias("homes"))
+    held = members.select("cls", "x", "shard", home).join(graph, "cls").join(homes, "cls").join(vectors.select("cls", "copies"), "cls")
+    names = members.select("shard", home).distinct()
+    asked = vectors.select("cls", "x", F.col("label").alias("shard"))
     for centers in levels:
-        routed = routed.join(centers, "shard", "left").mapInPandas(_nearest(0, slack), "cls long, x array<double>, shard string")
-    routed = stored(routed)
-    parts = routed.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    queries = routed.join(parts, "shard").select("cls", "x", "shard", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"))
-    held = members.join(graph, "cls").join(parts, "shard").select("cls", "x", "near", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    found = held.groupBy("shard", "part").cogroup(queries.groupBy("shard", "part")).applyInPandas(_search(beam, threshold), "a long, b long")
-    return found.union(found.select("b", "a")).distinct()
-
-
-def audit(vectors: DataFrame, pairs: DataFrame, threshold: float = COSINE, size: int = AUDIT) -> float:
-    """Share of the true pairs of `size` queries (smallest hashes of their ids) that are in `pairs`; 1 if there are none."""
-    chosen = vectors.select("cls", "label", "x").orderBy(F.xxhash64("cls", F.lit(9)), "cls").limit(size).collect()
-    by_label: dict[str, tuple[list, np.ndarray]] = {}
+        asked = _split(asked, centers, _route(slack))
+    asked = stored(asked.select("cls", "shard", home))
+    before = vectors.select("cls", F.array().cast("array<long>").alias("before"))
+    tables = []
+    while True:
+        now = asked.groupBy("cls").agg(F.collect_list("home").alias("now"))
+        queries = asked.select("cls", "shard").join(now, "cls").join(before, "cls").join(vectors.select("cls", "x"), "cls")
+        dealt, copied = _by_part(queries, held)
+        made = stored(dealt.cogroup(copied).applyInPandas(_search(beam, threshold), "kind int, a long, b long"))
+        tables.append(made.filter(F.col("kind") != FURTHER))
+        more = made.filter(F.col("kind") == FURTHER).select(F.col("a").alias("cls"), F.col("b").alias("home")).distinct()
+        before = stored(before.join(now, "cls", "left").select("cls", F.concat("before", F.coalesce("now", F.array().cast("array<long>"))).alias("before")))
+        asked = stored(more.join(names, "home").select("cls", "shard", "home"))
+        if asked.isEmpty():
+            break
+    every = tables[0]
+    for made in tables[1:]:
+        every = every.union(made)
+    return every
+
+
+def audit(vectors: DataFrame, found: DataFrame, threshold: float = COSINE, size: int = AUDIT) -> float:
+    """Share of the true links of `size` queries (smallest hashes of their ids) that `found` counts; 1 if there are none."""
+    sample = stored(vectors.select("cls", "label", "x").orderBy(F.xxhash64("cls", F.lit(9)), "cls").limit(size))
+    chosen = sample.collect()
+    by_label: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for label in {r["label"] for r in chosen}:
         rows = [r for r in chosen if r["label"] == label]
-        by_label[label] = ([r["cls"] for r in rows], np.array([r["x"] for r in rows]))
+        by_label[label] = (np.array([r["cls"] for r in rows]), np.array([r["x"] for r in rows]))
 
     def brute(batches):
         for df in batches:
-            out = []
+            total = 0
             for label, part in df.groupby("label"):
                 if label in by_label:
                     names, q = by_label[label]
-                    i, j = np.nonzero(q @ np.stack(part["x"].to_list()).T >= threshold)
-                    own = part["cls"].to_numpy()[j]
-                    a = np.array(names)[i]
-                    out.append(pd.DataFrame({"a": a[a != own], "b": own[a != own]}))
-            yield pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+                    linked = (q @ np.stack(part["x"].to_list()).T >= threshold) & (names[:, None] != part["cls"].to_numpy())
+                    total += int((linked * part["copies"].to_numpy()).sum())
+            yield pd.DataFrame({"n": [total]})
 
-    true = stored(vectors.select("cls", "label", "x").mapInPandas(brute, "a long, b long"))
-    n = true.count()
-    return true.join(pairs, ["a", "b"], "left_semi").count() / n if n else 1.0
+    true = vectors.select("cls", "label", "x", "copies").mapInPandas(brute, "n long").agg(F.sum("n")).first()[0]
+    got = found.filter(F.col("kind") == COUNT).join(sample.select(F.col("cls").alias("a")), "a", "left_semi").agg(F.sum("b")).first()[0]
+    return (got or 0) / true if true else 1.0
 
 
-def links(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
-    """(a, b) both ways: links between classes; as `vectors` from `classes`."""
+def links(vectors: DataFrame, threshold: float = COSINE) -> tuple[DataFrame, DataFrame]:
+    """((cls, more) weights of links, (u, v) a forest that spans the links) of classes; as `vectors` from `classes`."""
     members, levels = shards(vectors)
     graph = members.groupBy("shard").applyInPandas(build, "cls long, near array<long>")
     graph = stored(graph.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    beam, slack = BEAM, SLACK
-    for _ in range(3):
-        pairs = stored(search(vectors, members, graph, levels, beam, slack, threshold))
-        if audit(vectors, pairs, threshold) >= RECALL:
+    for beam, slack in ((BEAM, SLACK), (2 * BEAM, 2 * SLACK), (4 * BEAM, 4 * SLACK), (float("inf"), 180.0)):
+        found = search(vectors, members, graph, levels, beam, slack, threshold)
+        if slack == 180.0 or audit(vectors, found, threshold) >= RECALL:
             break
-        beam, slack = beam * 2, slack * 2
-    return pairs
+    more = found.filter(F.col("kind") == COUNT).groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("more"))
+    return more, found.filter(F.col("kind") == EDGE).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of vectors (vec_id, embedding, label)."""
     vectors = vectors.select(F.col("vec_id").cast("long"), "embedding", "label")
     known = stored(classes(vectors))
-    pairs = links(known, threshold)
+    degree, forest = links(known, threshold)
     size = known.select("cls", "rep", "copies")
-    degree = pairs.join(size.select(F.col("cls").alias("b"), "copies"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("more"))
-    comp = components(pairs.filter("a < b").select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "cls").withColumnRenamed("component", "root")
+    comp = components(forest).withColumnRenamed("node", "cls").withColumnRenamed("component", "root")
     named = size.join(comp, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     told = named.join(least, "root").join(degree, "cls", "left").select("cls", (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")

@@ -90,32 +90,36 @@ def anchors(texts: list[bytes], min_bytes: int = MIN_BYTES) -> tuple[np.ndarray,
 
 
 def suffix_array(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the suffixes, the 8 bytes at each place as a number)."""
+    """(order of the suffixes, the 8 bytes at each place as a number). Places are 32 bits wide: a shard has a few million."""
     n = len(b)
-    padded = np.r_[b, np.zeros(16, np.uint8)].astype(np.uint64)
+    padded = np.r_[b, np.zeros(16, np.uint8)]
     word = np.zeros(n + 8, np.uint64)
     for j in range(8):
-        word = (word << _U(8)) | padded[j : j + n + 8]
-    order = np.argsort(word[:n])
+        word <<= _U(8)
+        word |= padded[j : j + n + 8]
+    order = np.argsort(word[:n]).astype(np.int32)
     held = word[order]
     head = np.r_[True, held[1:] != held[:-1]]
-    group = np.maximum.accumulate(np.where(head, np.arange(n), 0))  # of each place in the order: where its group begins
-    rank = np.empty(n, np.int64)
+    del held
+    group = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), np.int32(0)))  # of each place in the order: where its group begins
+    rank = np.empty(n, np.int32)
     rank[order] = group
     h = 8
     while True:
         many = np.r_[group[1:] == group[:-1], False]
         many[1:] |= many[:-1]
-        u = np.flatnonzero(many)
+        u = np.flatnonzero(many).astype(np.int32)
         if not len(u):
             break
         s = order[u]
-        behind = np.where(s + h < n, rank[np.minimum(s + h, n - 1)] + 1, 0)
-        key = group[u] * (n + 1) + behind
+        key = group[u].astype(np.int64) * (n + 1)
+        key += np.where(s < n - h, rank[np.minimum(s, n - 1 - h) + h] + 1, 0)
         by = np.argsort(key)
         key = key[by]
         order[u] = s[by]
-        group[u] = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], u, 0))
+        del by, s
+        group[u] = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], u, np.int32(0)))
+        del key
         rank[order[u]] = group[u]
         h *= 2
     return order, word
@@ -124,11 +128,11 @@ def suffix_array(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def common_prefixes(order: np.ndarray, word: np.ndarray, most: int, lanes: int = 1 << 15) -> np.ndarray:
     """Bytes that each suffix shares with the one before it in the order, up to `most`."""
     n = len(order)
-    where, before = np.empty(n, np.int64), np.empty(n, np.int64)
-    where[order] = np.arange(n)
+    where, before = np.empty(n, np.int32), np.empty(n, np.int32)
+    where[order] = np.arange(n, dtype=np.int32)
     before[order[1:]] = order[:-1]
     before[order[0]] = -1
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     steps = -(-n // lanes)
     base, h = np.arange(min(lanes, n)) * steps, np.zeros(min(lanes, n), np.int64)
     for step in range(steps):
@@ -365,7 +369,10 @@ def one_row_each(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def removed(docs: DataFrame, min_bytes: int = MIN_BYTES, hot: int = HOT, with_text: bool = False) -> DataFrame:
-    """(_id, _th, n_removed, n_spans, kept_sha256[, kept binary]) of documents that lose bytes."""
+    """(_id, _th, n_removed, n_spans, kept_sha256[, kept string]) of documents that lose bytes.
+
+    `kept` is decoded where the text is cut: a second pass through Python in the same task would be a second worker for every core.
+    """
     each, shared = one_row_each(docs)
     spans, likely = repeated_spans(each, min_bytes, hot)
 
@@ -374,13 +381,15 @@ def removed(docs: DataFrame, min_bytes: int = MIN_BYTES, hot: int = HOT, with_te
             texts = b.column("text").cast(pa.binary()).to_pylist()
             kept = [_cut(t, s) for t, s in zip(texts, b.column("spans").to_pylist())]
             cols = [b.column("_id"), b.column("_th"), pa.array([len(t) - len(k) for t, (k, _) in zip(texts, kept)], pa.int64()), pa.array([n for _, n in kept], pa.int64())]
-            cols += [pa.array([hashlib.sha256(k).hexdigest() for k, _ in kept], pa.string())] + [pa.array([k for k, _ in kept], pa.binary())] * with_text
+            cols.append(pa.array([hashlib.sha256(k).hexdigest() for k, _ in kept], pa.string()))
+            if with_text:
+                cols.append(pa.array([k.decode("utf-8", "ignore") for k, _ in kept], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, ["_id", "_th", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
-    schema = "_id long, _th long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema = "_id long, _th long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     cut = likely.join(spans.join(shared, ["_id", "_th"], "left_anti"), ["_id", "_th"]).mapInArrow(run, schema)
     # every string of a text that two rows share starts in the other one too
-    nothing = [F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"").alias("kept")]
+    nothing = [F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept")]
     gone = docs.select(*text_key(), F.octet_length("text").cast("long").alias("n_removed")).filter(F.col("n_removed") >= min_bytes)
     gone = gone.join(shared, ["_id", "_th"], "left_semi").distinct().select("_id", "_th", "n_removed", *nothing[: 2 + with_text])
     return cut.unionByName(gone)
@@ -391,13 +400,7 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
     A character that is cut in two loses its other bytes as well.
     """
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [k.decode("utf-8", "ignore") for k in b.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_th"), pa.array(texts, pa.string())], ["_id", "_th", "_kept"])
-
-    cut = removed(docs, min_bytes, with_text=True).select("_id", "_th", "kept").mapInArrow(decode, "_id long, _th long, _kept string")
+    cut = removed(docs, min_bytes, with_text=True).select("_id", "_th", F.col("kept").alias("_kept"))
     rows = docs.select(F.struct("*").alias("_row"), *text_key()).join(cut, ["_id", "_th"], "left")  # columns of docs may have any name
     kept = {"text": F.coalesce("_kept", "_row.text")}
     if "n_chars" in docs.columns:

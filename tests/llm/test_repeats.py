@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +59,23 @@ def test_one_document_of_each_group_stays(spark, seed):
         groups.setdefault(text or "", set()).add((doc_id is None, doc_id or 0))
     assert [g[:2] for g in sorted(got, key=lambda g: g[2])] == [min(groups[t]) for t in sorted(groups)]
     assert kept.columns == docs.columns and len(got) == len(groups)
+
+
+def test_one_python_worker_for_a_task(spark):
+    """Cutting and decoding are one pass: two chained ones keep two workers for each core of an executor."""
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    plan = suffix_dedup.without_repeats(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the merge across shards, behind an exchange of its own, and the cut
+
+
+def test_a_shard_takes_few_bytes_for_each_of_its_own():
+    rnd = random.Random(6)
+    shared = [prose(rnd, 200).encode() for _ in range(20)]
+    pieces = [prose(rnd, 400).encode() + rnd.choice(shared) for _ in range(300)]
+    tracemalloc.start()
+    try:
+        starts = suffix_dedup.repeated_in_shard(pieces, 200)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, starts)) > 200_000 and most < 60 * sum(map(len, pieces))

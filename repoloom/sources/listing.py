@@ -24,6 +24,9 @@ from repoloom.sources.checkouts import LAYOUT, by_layout
 # Names that are no part of a checkout's files.
 SKIP = (".git",)
 FOLDERS_A_TASK = 200
+# Tasks of a level for each core. A task streams its rows, so its memory doesn't grow with its folders; with tasks in proportion
+# to the folders, the tables' files would grow as the input and the blocks of a shuffle between two levels as its square.
+WAVES = 4
 BYTES_A_TASK = 128 << 20
 BYTES_A_BATCH = 16 << 20
 # A cell holds less than 2^31 bytes.
@@ -72,7 +75,7 @@ def list_files(spark: SparkSession, root: str, skip: tuple[str, ...] = SKIP) ->
 
     The folders of a level are dealt out to tasks by number, whatever repository they belong to, so a repository that
     holds a third of them is spread; what a level holds is a table in the checkpoint folder, and the driver learns only
-    the number of folders of the next. One job per level of depth. A folder is listed by one task, with its entries in
+    the number of folders of the next. One job per level of depth, of at most WAVES tasks a core. A folder is listed by one task, with its entries in
     memory. A missing root fails; folders that can't be read, links and special files are rows with a `problem`.
     """
     store, home = open_store(root)
@@ -92,7 +95,7 @@ def list_files(spark: SparkSession, root: str, skip: tuple[str, ...] = SKIP) ->
     cores = spark.sparkContext.defaultParallelism
     level, n_folders, found = spark.createDataFrame([("",)], "address string"), 1, None
     while n_folders:
-        tasks = min(n_folders, max(cores, math.ceil(n_folders / FOLDERS_A_TASK)))
+        tasks = min(n_folders, max(cores, min(WAVES * cores, math.ceil(n_folders / FOLDERS_A_TASK))))
         entries = pinned(level.repartition(tasks).mapInArrow(lister, ENTRY))
         files = entries.filter("not is_folder").drop("is_folder")
         found = files if found is None else found.unionByName(files)

@@ -158,3 +158,17 @@ def test_trees_are_cut_between_lines(spark):
     assert joined == whole and len(pieces) > 20 and max(len(r["tree_text"]) for r in pieces) < 600
     rows = sorted((r["line_key"].encode(), r["line"]) for r in lines.filter("repo = 'r'").collect())
     assert whole["r"] == "\n".join(line for _, line in rows).rstrip() and whole["s"] == "s/\n\\-- x"
+
+
+def test_tasks_of_a_level_are_bounded(spark, tmp_path, monkeypatch):
+    """Tables of a level have a bounded number of files, and a shuffle between two levels a bounded number of blocks."""
+    cores = spark.sparkContext.defaultParallelism
+    names = {f"r/m/{i}/d/f.py" for i in range(6 * cores)}
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True)
+        (tmp_path / name).write_bytes(b"x")
+    monkeypatch.setattr(listing, "FOLDERS_A_TASK", 1)
+    tasks, pinned = [], listing.pinned
+    monkeypatch.setattr(listing, "pinned", lambda df: tasks.append(df.rdd.getNumPartitions()) or pinned(df))
+    assert {r["address"] for r in listing.list_files(spark, str(tmp_path)).collect()} == names
+    assert len(tasks) == 5 and max(tasks) == 4 * cores

@@ -12,7 +12,8 @@
    A greedy search starts from the shard's medoid, at home from the vector itself too; then everything within reach of the threshold is expanded
    until nothing new is found. Where that meets a vector whose other home the query hasn't seen, the search goes on there in the
    next round, so that it follows the united lists across shards; rounds end when no query has a shard left.
-   Hot shards are searched by several tasks, each with a part of the queries.
+   Hot shards are searched by several tasks, each with a part of the queries. `BLOCK` points or queries of a task take their steps
+   side by side; the walk reads vectors in single precision.
 4. Cosines in double precision verify every pair. Pairs aren't given out: a task adds up the links of each query, each pair in the
    first shard where the query meets the other vector, and keeps a spanning forest of its links. `audit` compares a bounded sample
    of queries with brute force; `links` searches again with twice the beam and slack while recall is below `RECALL`, and the last
@@ -41,6 +42,7 @@ TIES = 0.01  # degrees
 POOL, FAR, DEGREE, ALPHA = 64, 8, 24, 1.2
 BEAM, SLACK = 24, 2.0
 QUERIES = 4000
+BLOCK = 128  # points or queries that a task takes at once
 HELD = 1 << 20  # links held by a task before they become a forest
 AUDIT, RECALL = 500, 0.95
 
@@ -124,15 +126,17 @@ def shards(vectors: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         members = stored(_split(members, centers, _deal))
 
 
-def prune(sims: np.ndarray, to: np.ndarray) -> list[int]:
-    """Positions kept of candidates sorted from near to far; sims among them, `to` their cosine with the point."""
-    left, kept = np.ones(len(to), bool), []
-    for i in range(len(to)):
-        if left[i]:
-            kept.append(i)
-            if len(kept) == DEGREE:
-                break
-            left &= ALPHA * (1 - sims[i]) > 1 - to
+def prune(sims: np.ndarray, to: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which candidates of each point stay: candidates sorted from near to far, `to` their cosine with the point, `sims` among them.
+
+    `left` marks the candidates that count, one row for each point."""
+    left, kept, n = left.copy(), np.zeros(to.shape, bool), np.zeros(len(to), int)
+    bar, gap = 1 - to, ALPHA * (1 - sims)
+    for i in range(to.shape[1]):
+        row = np.flatnonzero(left[:, i] & (n < DEGREE))
+        kept[row, i] = True
+        n[row] += 1
+        left[row] &= gap[row, i] > bar[row]
     return kept
 
 
@@ -145,39 +149,82 @@ def build(df: pd.DataFrame) -> pd.DataFrame:
     df = df.sort_values("cls")
     x, names = np.stack(df["x"].to_list()), df["cls"].to_numpy()
     n = len(x)
-    lists: list[set[int]] = [set() for _ in range(n)]
     random = np.random.default_rng(n)
-    for a in range(0, n, 256):
-        s = x[a : a + 256] @ x.T
-        s[np.arange(len(s)), a + np.arange(len(s))] = -2
-        m = min(POOL, n - 1)
-        if m <= 0:
-            break
-        pool = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        for k in range(len(s)):
-            c = np.unique(np.r_[pool[k], random.integers(0, n, FAR)])
-            c = c[c != a + k]
-            c = c[np.argsort(-s[k, c], kind="stable")]
-            for i in prune(x[c] @ x[c].T, s[k, c]):
-                lists[a + k].add(int(c[i]))
-                lists[int(c[i])].add(a + k)
-    m = medoid(x)
-    seen, todo = {m}, [m]
-    for start in [m, *range(n)]:  # what the medoid doesn't reach is tied to it
-        if start not in seen:
-            lists[m].add(start)
-            seen.add(start)
-            todo = [start]
-        while todo:
-            new = lists[todo.pop()] - seen
-            seen |= new
-            todo.extend(new)
-    return pd.DataFrame({"cls": names, "near": [names[sorted(v)] for v in lists]})
+    m = min(POOL, n - 1)
+    u, v = [], []
+    for a in range(0, n if m else 0, BLOCK):
+        s = x[a : a + BLOCK] @ x.T
+        own = np.arange(a, a + len(s))[:, None]
+        s[np.arange(len(s)), own[:, 0]] = -2
+        c = np.concatenate([np.argpartition(-s, m - 1, axis=1)[:, :m], random.integers(0, n, (len(s), FAR))], axis=1)
+        c.sort(axis=1)
+        to = np.take_along_axis(s, c, 1)
+        by = np.argsort(-to, axis=1, kind="stable")
+        c, to = np.take_along_axis(c, by, 1), np.take_along_axis(to, by, 1)
+        left = c != own
+        left[:, 1:] &= c[:, 1:] != c[:, :-1]
+        near = x[c]
+        i, k = np.nonzero(prune(near @ near.transpose(0, 2, 1), to, left))
+        u.append(a + i)
+        v.append(c[i, k])
+    u, v = (np.concatenate([np.zeros(0, np.int64), *w]) for w in (u, v))
+    # what the medoid doesn't reach is tied to it
+    top, root = medoid(x), np.arange(n)
+    at, least = union_roots(u, v)
+    root[at] = least
+    tied = np.setdiff1d(root, root[top])
+    pairs = np.unique(np.concatenate([u * n + v, v * n + u, top * n + tied]))
+    return pd.DataFrame({"cls": names, "near": np.split(names[pairs % n], np.searchsorted(pairs, np.arange(1, n) * n))})
 
 
 COUNT, EDGE, FURTHER = 0, 1, 2
 
 
+def _near(x: np.ndarray, flat: np.ndarray, first: np.ndarray, size: np.ndarray, q: np.ndarray, itself: np.ndarray, start: int, beam: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, member) of what greedy searches find within `reach`, by query; the queries take their steps side by side.
+
+    A search starts from `start` and from the query itself. Of what a step meets, what is within reach or among the `beam` nearest
+    met so far is expanded in the next one; what isn't then never will be, since the nearest only come nearer.
+    """
+    n = len(x)
+    seen, fresh = np.zeros(len(q) * n, bool), np.zeros(len(q) * n, bool)
+    fresh[np.arange(len(q)) * n + itself] = True
+    fresh[np.arange(len(q)) * n + start] = True
+    best = np.full((len(q), int(beam) if beam < n else 0), -np.inf)
+    found = []
+    while True:
+        key = np.flatnonzero(fresh)
+        if not len(key):
+            break
+        seen |= fresh
+        fresh[:] = False
+        row, met = np.divmod(key, n)
+        sim = np.einsum("ij,ij->i", x[met], q[row])
+        go = sim >= reach
+        found.append(key[go])
+        if not best.shape[1]:  # a beam that holds the whole shard
+            go[:] = True
+        else:
+            near = np.flatnonzero(sim > best.min(1)[row])
+            asks, count = np.unique(row[near], return_counts=True)
+            at = best.shape[1] + np.arange(len(near)) - np.repeat(np.cumsum(count) - count, count)
+            line = np.repeat(np.arange(len(asks)), count)
+            all_ = np.full((len(asks), best.shape[1] + count.max(initial=0)), -np.inf)
+            all_[:, : best.shape[1]] = best[asks]
+            all_[line, at] = sim[near]
+            if len(asks):
+                top = np.argpartition(-all_, best.shape[1] - 1, axis=1)[:, : best.shape[1]]
+                best[asks] = np.take_along_axis(all_, top, 1)
+                chosen = np.zeros(all_.shape, bool)
+                np.put_along_axis(chosen, top, True, 1)
+                go[near[chosen[line, at]]] = True
+        row, met = row[go], met[go]
+        k = size[met]
+        fresh[np.repeat(row, k) * n + flat[np.repeat(first[met] - np.cumsum(k) + k, k) + np.arange(k.sum())]] = True
+        fresh &= ~seen
+    return np.divmod(np.sort(np.concatenate([np.zeros(0, np.int64), *found])), n)
+
+
 def _search(beam: float, threshold: float):
     """Rows (kind, a, b): links of query a by weight, an edge of the forest, or a shard where query a goes on."""
 
@@ -196,46 +243,44 @@ def _search(beam: float, threshold: float):
         first = np.cumsum(size) - size
         own = int(members["home"].iloc[0])
         other = np.array([next((h for h in v if h != own), own) for v in members["homes"]], np.int64)
-        start, reach = medoid(x), threshold - 0.03
+        asked, q = queries["cls"].to_numpy(), np.stack(queries["x"].to_list())
+        itself, start = np.minimum(np.searchsorted(names, asked), len(names) - 1), medoid(x)
+        itself = np.where(names[itself] == asked, itself, start)
+        short, short_q = x.astype(np.float32), q.astype(np.float32)
         out, u, v, waiting = [], [], [], 0
-        for name, q, before, now in zip(queries["cls"], queries["x"], queries["before"], queries["now"]):
-            sim = np.full(len(x), -2.0)
-            done = np.zeros(len(x), bool)
-            own_row = min(int(np.searchsorted(names, name)), len(names) - 1)
-            found = np.unique([start, own_row] if names[own_row] == name else [start])
-            sim[found] = x[found] @ q
-            while True:
-                top = found if len(found) <= beam else found[np.argpartition(-sim[found], beam - 1)[:beam]]
-                top = np.union1d(top, found[sim[found] >= reach])
-                top = top[~done[top]]
-                if not len(top):
-                    break
-                done[top] = True
-                n = size[top]
-                new = flat[np.repeat(first[top] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                new = np.unique(new[sim[new] == -2])
-                sim[new] = x[new] @ q
-                found = np.concatenate([found, new])
-            near = found[sim[found] >= reach]
-            further = np.setdiff1d(other[near], np.concatenate([before, now]))
-            if len(further):
-                out.append((FURTHER, name, further))
-            hit = near[(sim[near] >= threshold) & (names[near] != name)]
-            known = other[hit]
-            hit = hit[~(np.isin(known, before) | (np.isin(known, now) & (known < own)))]
-            if len(hit):
-                out.append((COUNT, name, copies[hit].sum(keepdims=True)))
-                u.append(np.full(len(hit), name))
-                v.append(names[hit])
-                waiting += len(hit)
-                if waiting > HELD:
-                    u, v = ([w] for w in union_roots(np.concatenate(u), np.concatenate(v)))
-                    waiting = 0
-        made = [pd.DataFrame({"kind": np.int32(kind), "a": np.int64(name), "b": b}) for kind, name, b in out]
+        for a in range(0, len(q), BLOCK):
+            z = min(a + BLOCK, len(q))
+            row, met = _near(short, flat, first, size, short_q[a:z], itself[a:z], start, beam, threshold - 0.03)
+            linked = (np.einsum("ij,ij->i", x[met], q[a + row]) >= threshold) & (names[met] != asked[a + row])
+            edges = np.searchsorted(row, np.arange(z - a + 1))
+            for i in np.flatnonzero(np.diff(edges)):
+                near, hit = met[edges[i] : edges[i + 1]], linked[edges[i] : edges[i + 1]]
+                name, before, now = asked[a + i], queries["before"].iat[a + i], queries["now"].iat[a + i]
+                further = set(other[near].tolist()).difference(before.tolist(), now.tolist())
+                if further:
+                    out.append((FURTHER, name, sorted(further)))
+                if not hit.any():
+                    continue
+                hit = near[hit]
+                known = other[hit]
+                hit = hit[~(np.isin(known, before) | (np.isin(known, now) & (known < own)))]
+                if len(hit):
+                    out.append((COUNT, name, [copies[hit].sum()]))
+                    u.append(np.full(len(hit), name))
+                    v.append(names[hit])
+                    waiting += len(hit)
+                    if waiting > HELD:
+                        u, v = ([w] for w in union_roots(np.concatenate(u), np.concatenate(v)))
+                        waiting = 0
         if u:
-            a, b = union_roots(np.concatenate(u), np.concatenate(v))
-            made.append(pd.DataFrame({"kind": np.int32(EDGE), "a": a, "b": b}))
-        return pd.concat(made) if made else none
+            out += [(EDGE, a, [b]) for a, b in zip(*union_roots(np.concatenate(u), np.concatenate(v)))]
+        if not out:
+            return none
+        many = [len(b) for _, _, b in out]
+        return pd.DataFrame({
+            "kind": np.repeat(np.array([k for k, _, _ in out], np.int32), many), "a": np.repeat(np.array([a for _, a, _ in out], np.int64), many),
+            "b": np.concatenate([np.asarray(b, np.int64) for _, _, b in out]),
+        })
 
     return run
 
@@ -244,7 +289,7 @@ def search(vectors: DataFrame, members: DataFrame, graph: DataFrame, levels: lis
     """(kind, a, b): weights of the links of `threshold` or more that the graphs lead to, and a forest that spans them."""
     home = F.xxhash64("shard").alias("home")
     homes = members.groupBy("cls").agg(F.collect_set(home).alias("homes"))
-    held = members.select("cls", "x", "shard", home).join(graph, "cls").join(homes, "cls").join(vectors.select("cls", "copies"), "cls")
+    held = stored(members.select("cls", "x", "shard", home).join(graph, "cls").join(homes, "cls").join(vectors.select("cls", "copies"), "cls"))
     names = members.select("shard", home).distinct()
     asked = vectors.select("cls", "x", F.col("label").alias("shard"))
     for centers in levels:

@@ -1,6 +1,9 @@
 """Shards, counts and forests of embedding near-dedup against brute force, on one label with a hot group."""
 
+import sys
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from repoloom.llm import embedding_dedup
@@ -68,3 +71,34 @@ def test_two_homes_no_pairs_and_exact_at_the_end(vectors, small_shards):
     assert embedding_dedup.audit(known, found) == 1.0
     tasks = members.select("shard").distinct().count() * 3  # 600 queries in parts of 200
     assert found.filter("kind = 1").count() <= members.count() * 3 + tasks * 200 < link.sum()
+
+
+def test_points_and_queries_take_their_steps_side_by_side():
+    """A handful of calls for each point and query, whatever the graph's degree; the exact search finds what brute force does."""
+    rnd = np.random.default_rng(5)
+    x = np.repeat(rnd.normal(size=(300, 16)), 3, axis=0) + rnd.normal(size=(900, 16)) * 0.15
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    names = np.sort(rnd.permutation(5000)[:900])
+    none = [np.zeros(0, np.int64)] * 900
+    calls = 0
+
+    def seen(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(seen)
+    try:
+        graph = embedding_dedup.build(pd.DataFrame({"cls": names, "x": list(x)}))
+        members = graph.assign(x=list(x), copies=1, home=7, homes=[np.array([7])] * 900)
+        queries = pd.DataFrame({"cls": names, "x": list(x), "before": none, "now": [np.array([7])] * 900})
+        found = embedding_dedup._search(embedding_dedup.BEAM, embedding_dedup.COSINE)(queries, members)
+    finally:
+        sys.setprofile(None)
+    link = x @ x.T >= embedding_dedup.COSINE
+    np.fill_diagonal(link, False)
+    got = dict(found[found.kind == embedding_dedup.COUNT][["a", "b"]].to_numpy().tolist())
+    assert sum(got.values()) >= 0.95 * link.sum() > 500 and calls < 300 * 900
+    exact = embedding_dedup._search(float("inf"), embedding_dedup.COSINE)(queries, members)
+    got = dict(exact[exact.kind == embedding_dedup.COUNT][["a", "b"]].to_numpy().tolist())
+    assert got == {int(n): int(k) for n, k in zip(names, link.sum(1)) if k}
+    assert (exact[exact.kind == embedding_dedup.EDGE]["a"] > exact[exact.kind == embedding_dedup.EDGE]["b"]).all()
